@@ -19,6 +19,12 @@ def boundary(pattern: str, unicode: bool = True) -> str:
     """
     w = _UNICODE_WORD if unicode else _ASCII_WORD
     edge = f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
+    # every list item starts and ends with a word character (but for the currency sign), so the outer
+    # edges need only look one way
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{w})" + pattern[2:]
+    if pattern.endswith(r"\b") and "₹" not in pattern:
+        pattern = pattern[:-2] + f"(?!{w})"
     return pattern.replace(r"\b", edge)
 
 

@@ -23,6 +23,11 @@ def _strings(items: list[str]) -> Column:
     return F.array(*[F.lit(i) for i in items])
 
 
+def _prices(t: Column, pattern: str, op: str) -> Column:
+    amounts = F.regexp_extract_all(t, F.lit(boundary(pattern)), 1)
+    return F.transform(amounts, lambda n: constraint("range", "price", F.array(F.concat(F.lit(op), n))))
+
+
 def constraints(text: Column, fix_license_polarity: bool = False) -> Column:
     """Q1: hard constraints in rule order, each once.
 
@@ -36,10 +41,7 @@ def constraints(text: Column, fix_license_polarity: bool = False) -> Column:
         (constraint("inclusion" if fix_license_polarity and values == ["open-source"] else "exclusion", dim,
                     _strings(values)), matches(t, p))
         for p, dim, values in vocab.EXCLUSION_PATTERNS])
-    prices = [
-        F.transform(F.regexp_extract_all(t, F.lit(boundary(p)), 1),
-                    lambda n, op=op: constraint("range", "price", F.array(F.concat(F.lit(op), n))))
-        for p, op in vocab.PRICE_PATTERNS]
+    prices = [_prices(t, p, op) for p, op in vocab.PRICE_PATTERNS]
     features = keep([(constraint("inclusion", "feature", _strings([v])), matches(t, p))
                      for p, v in vocab.FEATURE_PATTERNS])
     return F.array_distinct(F.concat(platforms, excluded, *prices, features))
