@@ -130,7 +130,7 @@ def ethics_v2(privacy: Column, open_source: Column, non_profit: Column) -> Colum
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    return (hashing.residue_similarity(hashing.byte_residues(a), hashing.byte_residues(b)) + 1) / 2
+    return (hashing.similarity(a, b) + 1) / 2
 
 
 def score_urls(rows: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
