@@ -39,15 +39,25 @@ def byte_residues(text: Column) -> Column:
 
 
 def embedding(text: Column) -> Column:
-    """The full normalised vector of a text."""
-    residues = byte_residues(text)
-    raw = F.transform(
-        F.sequence(F.lit(0), F.lit(EMBED_DIMS - 1)),
-        lambda i: ((F.element_at(residues, (i % HASH_BYTES + 1).cast("int"))
-                    + F.floor(i / HASH_BYTES) * (EMBED_STEP * HASH_BYTES)) % EMBED_MOD) / F.lit(float(EMBED_MOD)),
-    )
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(raw, lambda x: x / norm)).otherwise(raw)
+    """The full normalised vector of a text, in Arrow batches (a model would be called at the same place)."""
+    dims, step, mod, width = EMBED_DIMS, EMBED_STEP, EMBED_MOD, HASH_BYTES
+
+    def compute(texts):
+        from hashlib import md5
+
+        import numpy as np
+        import pandas as pd
+
+        if len(texts) == 0:
+            return pd.Series([], dtype="object")
+        digests = b"".join(md5(t.encode("utf-8")).digest() for t in texts.fillna(""))
+        numbers = np.frombuffer(digests, dtype=np.uint8).reshape(-1, width).astype(np.int64)
+        dim = np.arange(dims)
+        raw = ((numbers[:, dim % width] + step * dim) % mod) / float(mod)
+        norm = np.linalg.norm(raw, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(raw, norm, out=raw.copy(), where=norm > 0)))
+
+    return F.pandas_udf(compute, T.ArrayType(T.DoubleType()), PandasUDFType.SCALAR)(text)
 
 
 def _pair(x: Column, y: Column) -> Column:

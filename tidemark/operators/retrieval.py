@@ -127,9 +127,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int
     n_q = max(1, -(-(query_rows or queries.count()) // BLOCK_ROWS))
     n_v = max(1, -(-(vector_rows or vectors.count()) // BLOCK_ROWS))
     left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).cast("bigint").alias("vb"))
+                          F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>")).alias("vb"))
     right = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("vb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint").alias("qb"))
+                           F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")).alias("qb"))
     top = k
 
     def nearest(a, b):

@@ -229,12 +229,12 @@ FROM (SELECT *, source AS hash_id FROM documents)""")
 
 
 @query("content_dedup", """
-WITH RECURSIVE similar AS MATERIALIZED (
+WITH RECURSIVE near AS MATERIALIZED (
   SELECT a.query_id, a.row_id, b.row_id AS earlier FROM listed a JOIN listed b ON a.query_id = b.query_id AND b.row_id < a.row_id
   WHERE len(a.w) > 0 AND len(b.w) > 0 AND least(len(a.w), len(b.w)) >= 0.9::DOUBLE * greatest(len(a.w), len(b.w))
     AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.9::DOUBLE),
 ranked AS MATERIALIZED (SELECT row_id, row_number() OVER (ORDER BY row_id) AS n FROM listed),
-links AS MATERIALIZED (SELECT r.n, list(e.earlier) FILTER (e.earlier IS NOT NULL) AS earlier FROM ranked r LEFT JOIN similar e USING (row_id) GROUP BY r.n),
+links AS MATERIALIZED (SELECT r.n, list(e.earlier) FILTER (e.earlier IS NOT NULL) AS earlier FROM ranked r LEFT JOIN near e USING (row_id) GROUP BY r.n),
 walk AS (
   SELECT 0::BIGINT AS n, []::BIGINT[] AS kept
   UNION ALL
