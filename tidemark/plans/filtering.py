@@ -304,3 +304,21 @@ FROM intents_json""")
 def _(t):
     p = parse_intents(intents_json(t))
     return p.select("query_id", filters.expired(F.col("expires_at"), AS_OF).alias("expired"))
+
+
+# ---------------------------------------------------------------- ranks
+@query("rank_assign", """
+SELECT query_id, id, price, row_number() OVER (PARTITION BY query_id ORDER BY price DESC, id) AS rank FROM (SELECT query_id % 3 AS query_id, id, price FROM candidates)""")
+def _(t):
+    from tidemark.operators import ordered
+
+    c = t.candidates().select((F.col("query_id") % 3).alias("query_id"), "id", "price")
+    return ordered.ranked(c, ["query_id"], "price", "id")
+
+
+@query("topk_per_group", """
+SELECT platform, id, price, rank FROM (SELECT platform, id, price, CAST(row_number() OVER (PARTITION BY platform ORDER BY price DESC, id) AS INT) AS rank FROM candidates) WHERE rank <= 5""")
+def _(t):
+    from tidemark.operators import ordered
+
+    return ordered.top_k(t.candidates().select("platform", "id", "price"), ["platform"], [F.col("price").desc(), F.col("id")], 5)
