@@ -16,8 +16,13 @@ INTENT_HOURS = 8  # fixed value
 
 def request_join(requests: DataFrame, offered: DataFrame, key: str = "query_id") -> DataFrame:
     """Each request with the candidates that came with it: an equi join on the request, one row per
-    offered candidate. Nothing is paired beyond what was offered."""
-    return offered.join(requests, key)
+    offered candidate. Nothing is paired beyond what was offered.
+
+    Both sides grow with the traffic, so the join is a sort-merge join: it spills, adaptive execution
+    splits a request that holds very many candidates, and the scoring that follows runs on the shuffled
+    partitions instead of on however the input files happened to be cut.
+    """
+    return offered.join(requests.hint("merge"), key)
 
 
 # ---------------------------------------------------------------- single constraints
