@@ -108,7 +108,7 @@ SELECT l_orderkey AS query_id, concat_ws('-', l_orderkey, l_linenumber, l_partke
   {pick(tb.PLATFORMS, 'l_suppkey')} AS platform,
   CASE WHEN l_partkey % 9 <> 0 THEN {pick(tb.PROVIDERS, 'l_partkey')} END AS provider,
   {pick(tb.LICENSES, 'CAST(l_quantity AS BIGINT)')} AS license,
-  CASE WHEN l_linenumber <> 3 THEN round(l_extendedprice / 100, 2) ELSE 0.0 END AS price,
+  CASE WHEN l_linenumber <> 3 THEN l_extendedprice / 100 ELSE 0.0 END AS price,
   list_filter(string_split({pick(tb.TAG_SETS, 'l_linenumber')}, ','), lambda t: t <> '') AS tags,
   p_size / 50.0::DOUBLE AS quality_score,
   CASE WHEN l_suppkey % 13 <> 0 THEN strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') END AS recency,

@@ -179,7 +179,7 @@ class Testbed:
             pick(PLATFORMS, F.col("l_suppkey")).alias("platform"),
             F.when(F.col("l_partkey") % 9 != 0, pick(PROVIDERS, F.col("l_partkey"))).alias("provider"),
             pick(LICENSES, F.col("l_quantity").cast("bigint")).alias("license"),
-            F.when(F.col("l_linenumber") != 3, F.round(F.col("l_extendedprice") / 100, 2)).otherwise(0.0).alias("price"),
+            F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") / 100).otherwise(0.0).alias("price"),
             F.filter(F.split(tags, ","), lambda t: t != "").alias("tags"),
             (F.col("p_size") / 50.0).alias("quality_score"),
             F.when(F.col("l_suppkey") % 13 != 0, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("recency"),
