@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, topk, warc
+from tidemark.llm import chat, mixing, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
@@ -24,6 +24,12 @@ def op7_chat_format(spark: SparkSession, directory: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op8_winnowing(spark: SparkSession, directory: str) -> DataFrame:
+    found = winnow.contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_top_k(spark: SparkSession, directory: str) -> DataFrame:
     return topk.top_k(table(spark, directory, "embeddings"))
 
@@ -61,6 +67,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM numbered GROUP BY conv_id
 """
 
+SQL_WINNOW = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark WHERE text IS NOT NULL),
+item_windows AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) t(i) WHERE len(ws) > 0),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (SELECT rid, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM d, lengths, unnest(range(1, len(ws) - n + 2)) t(i)),
+hits AS (SELECT rid, i, w.n, item_id FROM doc_windows w JOIN item_windows v ON w.n = v.n AND w.win = v.win),
+covered AS (SELECT rid, count(DISTINCT i + o) AS n_hit FROM hits, unnest(range(0, n)) t(o) GROUP BY rid),
+listed AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+  FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM hits) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid)
+"""
+
 SQL_TOP_K = """
 WITH rows AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
@@ -84,6 +108,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op7_chat_format": SQL_CHAT, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
+ORACLES: dict[str, str] = {"op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
