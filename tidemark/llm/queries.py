@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, topk, warc, winnow
+from tidemark.llm import chat, mixing, simhash, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
 
+def op3_simhash(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, directory, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, directory, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
@@ -108,6 +112,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
