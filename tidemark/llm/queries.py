@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, simhash, topk, warc, winnow
+from tidemark.llm import chat, mixing, simhash, substring, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
 
+def op1_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, directory, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
@@ -43,6 +48,18 @@ def op10_warc(spark: SparkSession, directory: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, directory, "pages"), folder), folder)
 
 
+SQL_SUBSTRING = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(ws) - 18)) t(i)),
+gone AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+hit AS (SELECT DISTINCT doc_id, i + o AS p FROM gone, unnest(range(0, 20)) t(o)),
+r AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM hit GROUP BY doc_id),
+k AS (SELECT d.doc_id, string_agg(ws[t.p], ' ' ORDER BY t.p) AS kept FROM d, unnest(range(1, len(ws) + 1)) t(p)
+  LEFT JOIN hit h ON h.doc_id = d.doc_id AND h.p = t.p WHERE h.p IS NULL GROUP BY d.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 SQL_CHAT = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,6 +129,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
