@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, simhash, substring, topk, warc, winnow
+from tidemark.llm import chat, mixing, pii, simhash, substring, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
@@ -17,6 +17,12 @@ def op1_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_personal_data(spark: SparkSession, directory: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, directory, "documents").select("doc_id", "text"))
+    n = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *n, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op3_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
@@ -129,6 +135,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
