@@ -69,7 +69,8 @@ def _multipliers(docs: DataFrame, goal: dict[str | None, float], scale: dict[str
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, rounds: int = 60, tol: float = 1e-7) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies (0..cap), taken = copies * size for every row of ``docs``
+    """doc_id, source, size, source_size, target, rate, copies (0..cap), taken = copies * size and
+    row_hash (xxhash64 of id and text) for every row of ``docs``
     (doc_id, source, text; other columns are ignored).
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last one. Repeated rows
@@ -103,11 +104,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     docs = docs.withColumn("upto", upto)
     # Any starting phase of the rounding keeps the running sums; each source takes the phase that ends nearest its target.
     copies = lambda phase: f"((upto + {phase}) div {UNIT} - (upto - units + {phase}) div {UNIT})"
-    docs = written(docs.select("doc_id", "source", "size", "source_size", "target", "rate", "upto", "units"), "mix-rates")
+    docs = written(docs.select("doc_id", "source", "size", "source_size", "target", "rate", "h", "upto", "units"), "mix-rates")
     phases = [UNIT * (2 * i + 1) // (2 * PHASES) for i in range(PHASES)]
     ends = docs.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.expr(f"{copies(p)} * size")).alias(f"p{p}") for p in phases]).collect()
     best = [(r["source"], min(phases, key=lambda p: (abs(r[f"p{p}"] - r["target"]), p))) for r in ends]
     best = docs.sparkSession.createDataFrame(best, "s string, phase long")
     docs = docs.join(best, docs["source"].eqNullSafe(best["s"]))
     return docs.select("doc_id", "source", "size", "source_size", "target", "rate", F.expr(f"cast({copies('phase')} as int) as copies"),
-                       F.expr(f"cast({copies('phase')} * size as bigint) as taken"))
+                       F.expr(f"cast({copies('phase')} * size as bigint) as taken"), F.col("h").alias("row_hash"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pii, runindex, simhash, substring, topk, warc, winnow
+from tidemark.llm import chat, mixing, pii, quality, runindex, simhash, substring, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
@@ -32,6 +32,10 @@ def op4_mix_sources(spark: SparkSession, directory: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality.classify(table(spark, directory, "documents"), table(spark, directory, "labels")).drop("text_hash")
+
+
 def op6_run_index(spark: SparkSession, directory: str) -> DataFrame:
     kept = runindex.remove_repeats(table(spark, directory, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -140,6 +144,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op6_run_index": op6_run_index, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op6_run_index": op6_run_index, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}

@@ -53,15 +53,15 @@ def fingerprint(text: bytes, n: int, width: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n: int, width: int = 1) -> DataFrame:
-    """doc_id and ``fp`` (array of ``width`` longs) of every row; a null text has no words, so fingerprint zero."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.list_(pa.int64()))])
+    """doc_id, text_hash (xxhash64) and ``fp`` (array of ``width`` longs) of every row; a null text has no words, so fingerprint zero."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(t, n, width).tolist() for t in byte_texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(fp, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp array<long>")
 
 
 def ring(m: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -135,7 +135,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, width: int = 16, key_bits: int = 21) -> DataFrame:
-    """doc_id, component_id: texts whose sets of n-word shingles are about ``similarity`` alike or more, by long fingerprints.
+    """doc_id, text_hash, component_id: texts whose sets of n-word shingles are about ``similarity`` alike or more, by long fingerprints.
 
     ``width`` words of 64 bits estimate the angle between shingle sets to about 1 %. A Jaccard similarity J is a cosine of
     2J / (1 + J), which sets the number of bits that may differ. Texts that share any key of ``key_bits`` bits meet; within
@@ -164,4 +164,4 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, width: int
     named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(ids, "root").select("id", "component_id")
-    return prints.select("doc_id", F.xxhash64("fp").alias("id")).join(by_print, "id").select("doc_id", "component_id")
+    return prints.select("doc_id", "text_hash", F.xxhash64("fp").alias("id")).join(by_print, "id").select("doc_id", "text_hash", "component_id")
