@@ -49,8 +49,9 @@ def _multipliers(docs: DataFrame, goal: dict[str | None, float], scale: dict[str
         z = F.col("size") / F.col("scale")
         rate = F.exp(F.least(F.col("tilt") * z, F.lit(log_cap)))
         inside = F.when(F.col("tilt") * z < log_cap, rate * z * F.col("size")).otherwise(0.0)
+        exact = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")  # noqa: E731  sums that don't depend on their order
         sums = (docs.join(now, docs["source"].eqNullSafe(now["source"])).groupBy(docs["source"])
-                .agg(F.sum(rate * F.col("size")).alias("got"), F.sum(inside).alias("slope")).collect())
+                .agg(exact(rate * F.col("size")).alias("got"), exact(inside).alias("slope")).collect())
         off = 0.0
         for r in sums:
             s = state[r["source"]]
@@ -81,7 +82,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"),
                        F.xxhash64("doc_id", "text").alias("h"))
     docs = written(docs, "mix-sizes")
-    per = docs.groupBy("source").agg(F.sum("size").alias("n"), (F.sum(F.col("size").cast("double") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("scale")).collect()
+    per = docs.groupBy("source").agg(F.sum("size").alias("n"), (F.sum((F.col("size") * F.col("size")).cast("decimal(28,0)")).cast("double") / F.greatest(F.sum("size"), F.lit(1))).alias("scale")).collect()
     sizes = {r["source"]: int(r["n"]) for r in per}
     goal = targets(list(sizes.items()), weights, cap)
     open_ = {s for s in goal if 0 < goal[s] < cap * sizes[s] * (1 - 1e-12)}
