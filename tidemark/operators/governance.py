@@ -110,8 +110,9 @@ def latency_summary(df: DataFrame, group: str, value: str, width: float, ok=None
     base = df.groupBy(group).agg(n.alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"),
                                  F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"),
                                  (F.count_if(F.lit(True) if ok is None else ok) / n).alias("success_rate"))
+    df = df.where(F.col(value).isNotNull())  # a null is counted, but has no rank
     folded = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    running = ordered.prefix_sums(folded, [group], value, ["n"], F.lit(width)).join(base.select(group, "count"), group)
+    running = ordered.prefix_sums(folded, [group], value, ["n"], F.lit(width)).join(df.groupBy(group).agg(n.alias("count")), group)
     v, cum, total = F.col(value), F.col("n"), F.col("count")
     at_index = lambda i: F.min(F.when(cum > i, v))
     q = running.groupBy(group).agg(

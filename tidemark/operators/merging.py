@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.text import clamp, word_set
 from tidemark.functions.urls import normalise_url
@@ -34,9 +35,8 @@ def route_queries(queries: DataFrame) -> DataFrame:
 def apply_quota(results: DataFrame, routes: DataFrame) -> DataFrame:
     """Best results per (query, backend) up to the backend's quota."""
     joined = results.join(routes.select("query_id", F.col("backend").alias("source"), "quota"), ["query_id", "source"])
-    most = max(int(limit * w) for bs, limit in ROUTES.values() for _, w in bs)
-    limited = ordered.top_k(joined, ["query_id", "source"], [F.col("score").desc_nulls_last(), F.col("url")], most, "position")
-    return limited.where(F.col("position") <= F.col("quota"))
+    order = Window.partitionBy("query_id", "source").orderBy(F.col("score").desc_nulls_last(), F.col("url"))
+    return joined.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.col("quota"))
 
 
 def merge_results(results: DataFrame) -> DataFrame:

@@ -118,15 +118,18 @@ def ranked(rows: DataFrame, keys: Sequence[str], score: str, tie: str, out: str
     """Number rows 1..n per key by score descending, then tie ascending.
 
     A key is cut by score level (``steps`` levels per unit), so that even a key that holds most of the
-    rows is sorted by many tasks.
+    rows is sorted by many tasks. Rows without score come last; rows without a key form a key of their own.
     """
-    cut = rows.withColumn("_level", F.floor(-F.col(score) * F.lit(steps)))
-    inside = Window.partitionBy(*keys, "_level").orderBy(F.col(score).desc(), F.col(tie))
+    cut = rows.withColumn("_level", F.coalesce(F.floor(-F.col(score) * F.lit(steps)), F.lit(2**62)))
+    inside = Window.partitionBy(*keys, "_level").orderBy(F.col(score).desc_nulls_last(), F.col(tie))
     per_level = cut.groupBy(*keys, "_level").agg(F.count(F.lit(1)).alias("_n"))
     above = Window.partitionBy(*keys).orderBy("_level").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_level.select(*keys, "_level", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    return (cut.withColumn("_in", F.row_number().over(inside)).join(carried, [*keys, "_level"])
-            .withColumn(out, F.col("_in") + F.col("_above")).drop("_level", "_in", "_above"))
+    names = {c: f"_key{i}" for i, c in enumerate([*keys, "_level"])}
+    carried = carried.select(*[F.col(c).alias(n) for c, n in names.items()], "_above")
+    cut = cut.withColumn("_in", F.row_number().over(inside))
+    same = [cut[c].eqNullSafe(carried[n]) for c, n in names.items()]
+    return cut.join(carried, same).withColumn(out, F.col("_in") + F.col("_above")).drop("_level", "_in", "_above", *names.values())
 
 
 def top_k(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:

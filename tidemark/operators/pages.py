@@ -15,7 +15,11 @@ from tidemark.operators import ordered
 
 SNIPPET_CHARS = 200  # fixed value
 # entity, character (fixed values); &amp; last so that no entity is read twice
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# fixed values: the named entities that prose holds; &amp; comes last, so that nothing is decoded twice
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
+            ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"),
+            ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&deg;", "°"),
+            ("&euro;", "€"), ("&pound;", "£"), ("&sect;", "§"), ("&times;", "×"), ("&amp;", "&")]
 
 
 def unescape(text: Column) -> Column:
@@ -41,10 +45,12 @@ def sanitise_text(text: Column) -> Column:
 def html_to_page(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Title, meta description and body text of raw HTML, by native expressions on the whole page.
 
-    ``max_chars`` cuts the text the way a crawler with a size limit would; by default nothing is cut.
+    The text runs from <body> to </body> or, where that is missing, to the end; a page without <body> is text as a whole
+    but for its title. ``max_chars`` cuts the text the way a crawler with a size limit would; by default nothing is cut.
     """
     html = F.col("html")
-    body = F.regexp_extract(html, r"(?is)<body[^>]*>(.*)</body>", 1)
+    inside = F.regexp_replace(F.regexp_replace(html, r"(?is)^.*?<body(?:\s[^>]*)?>", ""), r"(?is)</body>.*$", "")
+    body = F.when(F.rlike(html, F.lit(r"(?i)<body(?:\s[^>]*)?>")), inside).otherwise(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", ""))
     bare = F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"<[^>]+>", "")
     content = F.trim(F.replace(unescape(bare), F.lit("\n"), F.lit(" ")))
     return pages.select(
@@ -119,10 +125,12 @@ def known_domain(url: Column) -> Column:
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Crawlable links of each page, resolved against the page, with their anchor text."""
-    pattern = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    both = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), 1).alias("href"),
-                        F.regexp_extract_all("html", F.lit(pattern), 2).alias("anchor"))
-    links = pages.select("page_id", "url", F.explode(both).alias("l")).select(
+    pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+    seen = F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), r"(?is)<script[^>]*>.*?</script>", "")
+    quoted, single, bare, anchor = (F.regexp_extract_all("seen", F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4))
+    href = F.zip_with(F.zip_with(quoted, single, lambda a, b: F.concat(a, b)), bare, lambda a, b: F.concat(a, b))  # two of the three are empty
+    both = F.arrays_zip(href.alias("href"), anchor.alias("anchor"))
+    links = pages.withColumn("seen", seen).select("page_id", "url", F.explode(both).alias("l")).select(
         F.col("page_id").alias("source_page_id"), F.col("url").alias("source_url"),
         resolve(F.col("url"), unescape(F.col("l.href"))).alias("target_url"),
         F.trim(unescape(F.regexp_replace("l.anchor", r"<[^>]+>", ""))).alias("anchor_text"))

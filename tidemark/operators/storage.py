@@ -21,7 +21,7 @@ def page_upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
     fields = [c for c in current.columns if c != "url"]
     kept = [c for c in fields if c in KEPT_FROM_FIRST]
     moving = [c for c in fields if c not in kept]
-    order = F.struct("_age", "updated_at")
+    order = F.struct("_age", "updated_at", F.xxhash64(*fields))  # a fixed one of versions at one instant
     folded = both.groupBy("url").agg(F.max_by(F.struct(*moving), order).alias("_new"), F.min_by(F.struct(*kept), order).alias("_first"))
     return folded.select("url", "_new.*", "_first.*").select(*current.columns)
 

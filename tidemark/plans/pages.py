@@ -22,7 +22,7 @@ def unescape(expr: str) -> str:
 
 cte("parsed_pages", f"""
 SELECT page_id, url, {unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-  trim(replace({unescape("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')")}, chr(10), ' ')) AS content,
+  trim(replace({unescape("regexp_replace(regexp_replace(CASE WHEN regexp_matches(html, '(?i)<body(\\s[^>]*)?>') THEN regexp_extract(html, '(?is)<body(?:\\s[^>]*)?>(.*?)(?:</body>|$)', 1) ELSE regexp_replace(html, '(?is)<title[^>]*>.*?</title>', '', 'g') END, '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')")}, chr(10), ' ')) AS content,
   {unescape("regexp_extract(html, '(?is)<meta\\s+name=\"description\"\\s+content=\"([^\"]*)\"', 1)")} AS meta_description,
   length(html) AS content_length FROM pages""")
 cte("page_texts", """
@@ -37,9 +37,11 @@ def _(t):
                     F.length("content").cast("bigint").alias("content_chars"), "meta_description", "content_length")
 
 
-cte("link_parts", r"""
-SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
-  unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS anchor FROM pages""")
+LINK = """'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)[^>]*>(.*?)</a>'"""
+cte("link_parts", f"""
+SELECT page_id, url, CASE WHEN ord(quoted) IN (34, 39) THEN substr(quoted, 2, length(quoted) - 2) ELSE quoted END AS href, anchor FROM (
+  SELECT page_id, url, unnest(regexp_extract_all(seen, {LINK}, 1)) AS quoted, unnest(regexp_extract_all(seen, {LINK}, 2)) AS anchor
+  FROM (SELECT *, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g') AS seen FROM pages))""")
 SPLIT = r"'^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$'"
 
 
