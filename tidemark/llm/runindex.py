@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, shuffle_width
+from tidemark.llm.common import mix, shuffle_width, written
 from tidemark.llm.substring import blocks, expand, in_order, pack, runs_of, squeeze, unpack
 
 LENGTH = 400
@@ -41,24 +41,36 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+PIECE = 1 << 16  # places worked on at once: their arrays stay in a core's cache
+
+
 def gram_hashes(data: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """Hash of the k bytes at every place, by differences of one running polynomial sum."""
+    """Hash of the k bytes at every place, by differences of a running polynomial sum, piece by piece."""
     base = _ROLL ^ (seed << 1)
-    inverse = pow(base, -1, 1 << 64)
-    values = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed))[data]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(len(data), base), dtype=np.uint64)])
     n = max(0, len(data) - k + 1)
-    return mix((sums[k:k + n] - sums[:n]) * _powers(n, inverse))
+    out = np.empty(n, np.uint64)
+    values = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed))
+    up, down = _powers(min(n, PIECE) + k, base), _powers(min(n, PIECE), pow(base, -1, 1 << 64))
+    for at in range(0, n, PIECE):
+        part = data[at:at + PIECE + k - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * up[:len(part)], out=sums[1:])
+        m = len(part) - k + 1
+        out[at:at + m] = mix((sums[k:k + m] - sums[:m]) * down[:m])
+    return out
 
 
 def least_in_window(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w consecutive values, by doubling."""
-    size = 1
-    while size < w:
-        step = min(size, w - size)
-        x = np.minimum(x[:-step], x[step:]) if len(x) > step else x[:0]
-        size += step
-    return x
+    """Minimum of every w consecutive values, by doubling, piece by piece."""
+    out = np.empty(max(0, len(x) - w + 1), x.dtype)
+    for at in range(0, len(out), PIECE):
+        part, size = x[at:at + PIECE + w - 1], 1
+        while size < w:
+            step = min(size, w - size)
+            part = np.minimum(part[:-step], part[step:])
+            size += step
+        out[at:at + len(part)] = part
+    return out
 
 
 class Segments:
@@ -115,11 +127,11 @@ class RunIndex:
         longest = int(self.sizes.max(initial=0))
         padded = np.concatenate([text, np.zeros(4, np.uint16)]).astype(np.uint64)
         four = (padded[:n] << np.uint64(48)) | (padded[1:n + 1] << np.uint64(32)) | (padded[2:n + 2] << np.uint64(16)) | padded[3:n + 3]
-        order = np.argsort(four, kind="stable")
+        order = np.argsort(four)
         rank, size = self._ranks(four, order), 4
         while size < longest and rank[order[-1]] < n - 1:
             key = (rank.astype(np.uint64) << np.uint64(32)) | np.concatenate([rank[size:] + 1, np.zeros(min(size, n), np.int64)])[:n].astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank, size = self._ranks(key, order), size * 2
         self.four = four
         before = np.concatenate([[0], text[:-1]])[order]  # the transform
@@ -187,7 +199,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         names, n = np.unique(pairs, axis=0, return_counts=True)
         return pa.table([np.full(len(n), block, np.int32), names[:, 0], names[:, 1], np.minimum(n, 2).astype(np.int32)], schema=_SEGMENT)
 
-    seen = dealt.groupBy("block").applyInArrow(segments, "block int, anchor long, segment long, n int")
+    seen = written(dealt.groupBy("block").applyInArrow(segments, "block int, anchor long, segment long, n int"), "runindex-segments")
     shapes = seen.groupBy("anchor", "segment").agg(F.least(F.sum("n"), F.lit(2)).alias("n"), F.min("block").alias("home"))
     anchors = shapes.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("variants")).filter("n > 1").select("anchor", "variants")
     shapes = shapes.join(anchors, "anchor")
@@ -233,10 +245,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sent = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, BODY)
     found = sent.groupBy("shard").applyInArrow(index, TOLD)
-    marks = (found.filter(F.col("kind") == MARKED).select("anchor", "segment", "body")
-             .join(seen.select("block", "anchor", "segment"), ["anchor", "segment"]).select("block", F.lit(MARKED).alias("kind"), "anchor", "segment", "body"))
+    # one pass over what the buckets found: marks go to all blocks that hold the segment, masks to the block that asked
+    holds = seen.select(F.col("block").alias("holder"), F.col("anchor").alias("a"), F.col("segment").alias("s"))
+    marked = F.when(F.col("kind") == MARKED, F.col("anchor"))
+    marks = found.join(holds, (marked == F.col("a")) & (F.col("segment") == F.col("s")), "left").select(
+        F.coalesce("holder", "block").alias("block"), "kind", "anchor", "segment", "body")
     whole = told.filter((F.col("kind") != INDEXED) | F.col("body").isNotNull()).select("block", "kind", "anchor", "segment", "body")
-    back = whole.unionAll(marks).unionAll(found.filter(F.col("kind") == MASK))
+    back = whole.unionAll(marks)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
