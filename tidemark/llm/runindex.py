@@ -23,6 +23,7 @@ from tidemark.llm.substring import blocks, expand, in_order, pack, runs_of, sque
 LENGTH = 400
 GRAM = 64
 HOT = 2000  # segments of one anchor that an index takes
+BLOCK_BYTES = 4 << 20  # of text in a block: its arrays take about sixty times that
 BUCKET_BYTES = 2 << 20
 SHARD_WINDOWS = 1 << 20
 ALL, INDEXED, COUNTED, MARKED, MASK = range(5)
@@ -189,7 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``length`` bytes over it also starts anywhere else, in the same text or another; strings never cross texts. Repeated
     rows are repeats of each other. Rows without doc_id are treated like any other. An empty table gives an empty result.
     """
-    dealt, total = blocks(docs)
+    dealt, total = blocks(docs, BLOCK_BYTES)
     spark = docs.sparkSession
     least = shuffle_width(spark)
 
