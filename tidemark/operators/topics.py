@@ -85,18 +85,19 @@ def topic_confidence(candidates: DataFrame) -> DataFrame:
                                                          + F.greatest(F.lit(0.0), quality) * 0.1).alias("confidence"))
 
 
-def expand_topics(history: DataFrame, existing: DataFrame, as_of: str, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """New topics of each category. ``existing`` has category and topic; a candidate that shares most
+def expand_topics(history: DataFrame, existing: DataFrame, as_of: str, min_confidence: float = MIN_CONFIDENCE,
+                  keywords: int = TOP_KEYWORDS, per_category: int = MAX_PER_CATEGORY) -> DataFrame:
+    """At most ``per_category`` new topics of each category, from the ``keywords`` strongest keywords. ``existing`` has category and topic; a candidate that shares most
     of its words with one of them is left out. Existing topics of a category are few (the cap below), so
     they join as one array per category."""
-    trending = trending_keywords(history, as_of).where(F.col("frequency") >= MIN_FREQUENCY)
+    trending = trending_keywords(history, as_of, k=keywords).where(F.col("frequency") >= MIN_FREQUENCY)
     scored = topic_confidence(topic_candidates(trending)).where((F.col("confidence") >= min_confidence) & F.col("valid"))
     known = existing.groupBy("category").agg(F.collect_list(word_set(F.col("topic"))).alias("known"))
     words = word_set(F.col("topic"))
     fresh = scored.join(known, "category", "left").where(
         ~F.coalesce(F.exists("known", lambda w: jaccard(words, w) >= DUPLICATE_JACCARD), F.lit(False)))
     named = fresh.where((F.length(F.trim("topic")) >= 3) & ~F.lower("topic").isin(vocab.TOPIC_STOP_WORDS))
-    return ordered.top_k(named.drop("known"), ["category"], [F.col("score").desc(), F.col("topic")], MAX_PER_CATEGORY)
+    return ordered.top_k(named.drop("known"), ["category"], [F.col("score").desc(), F.col("topic")], per_category)
 
 
 def keyword_counts(history: DataFrame, keep: int = KEEP_KEYWORDS) -> DataFrame:
@@ -124,11 +125,15 @@ def first_seen_per_domain(scored: DataFrame) -> DataFrame:
     return ordered.first_per_key(scored, ["domain"], [-F.col("score"), F.col("topic"), F.col("position"), F.col("url")])
 
 
-def discover_seeds(candidates: DataFrame, per_topic: int, min_score: float = MIN_SEED_SCORE) -> DataFrame:
-    """Good candidates, one per domain, at most ``per_topic`` per topic in result order."""
+def discover_seeds(candidates: DataFrame, per_topic: int, min_score: float = MIN_SEED_SCORE,
+                   look_ahead: int | None = None) -> DataFrame:
+    """Good candidates, one per domain, at most ``per_topic`` per topic in result order. ``look_ahead``
+    keeps that many results of a topic (none: all)."""
     scored = candidates.select("topic", "url", "title", "engine", "position", part(F.col("url"), 2).alias("domain"), seed_score(
         F.col("position"), F.col("n_engines"), F.col("content"), F.col("thumbnail"), F.col("url")).alias("score"))
-    good = scored.where((F.col("score") >= min_score) & (F.col("position") < 2 * per_topic))
+    good = scored.where(F.col("score") >= min_score)
+    if look_ahead is not None:
+        good = good.where(F.col("position") < look_ahead)
     limited = ordered.top_k(first_seen_per_domain(good), ["topic"], [F.col("position"), F.col("url")], per_topic, "_n").drop("_n")
     return ordered.first_per_key(limited, ["url"], [-F.col("score"), F.col("topic")])
 

@@ -46,13 +46,13 @@ def _(t):
     return graph.degrees(trade_edges(t))
 
 
-ROUNDS = 3
+ROUNDS = graph.ITERATIONS
 
 
 def rank_sql(edges: str, pages: str, rounds: int) -> str:
     steps = [f"r0 AS (SELECT url, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
     for i in range(rounds):
-        steps.append(f"""r{i + 1} AS (SELECT n.url, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(f.flow, 0) AS rank
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT n.url, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85::DOUBLE * coalesce(f.flow, 0) AS rank
 FROM nodes n LEFT JOIN (SELECT dst, sum(rank * share) AS flow FROM shares JOIN r{i} ON url = src GROUP BY dst) f ON f.dst = n.url)""")
     return f"""WITH nodes AS MATERIALIZED (SELECT src AS url FROM {edges} UNION SELECT dst FROM {edges}{pages}),
 shares AS MATERIALIZED (SELECT src, dst, count(*) / any_value(o) AS share FROM {edges} JOIN (SELECT src, count(*)::DOUBLE AS o FROM {edges} GROUP BY src) USING (src) GROUP BY src, dst),
@@ -66,11 +66,10 @@ def _(t):
     return graph.pagerank(trade_edges(t), iterations=ROUNDS, tolerance=0.0).withColumn("rank", r6(F.col("rank")))
 
 
-# with the default mean tolerance a graph of this size stops after one round
-@query("store_pagerank", rank_sql("page_edges", " UNION SELECT url FROM pages", 1) + """
+@query("store_pagerank", rank_sql("page_edges", " UNION SELECT url FROM pages", ROUNDS) + """
 SELECT page_id, url, round(coalesce(rank, 0), 6) AS pagerank FROM pages LEFT JOIN ranked USING (url)""")
 def _(t):
-    ranks = graph.pagerank(page_edges(t), t.table("pages"), iterations=1)
+    ranks = graph.pagerank(page_edges(t), t.table("pages"), iterations=ROUNDS, tolerance=0.0)
     return graph.store_pagerank(t.table("pages").select("page_id", "url"), ranks).select("page_id", "url", r6(F.col("pagerank")).alias("pagerank"))
 
 

@@ -108,7 +108,7 @@ def _(t):
 @query("topics_from_results", f"""
 WITH terms AS (SELECT query, unnest(list_distinct({TERMS.replace('{x}', 'query')})) AS term FROM searches),
 hits AS (SELECT DISTINCT query, page_id FROM terms JOIN impacts USING (term) WHERE field = 'title'),
-words AS (SELECT query, unnest(list_concat(list_distinct({TOPIC_WORDS}), CASE WHEN contains(t, 'how to') THEN ['how to'] ELSE [] END)) AS topic FROM hits JOIN page_texts USING (page_id)),
+words AS (SELECT query, unnest(list_concat(list_distinct({TOPIC_WORDS}), list_filter({sql_list(vocab.KEY_PHRASES)}, lambda p: contains(t, p)))) AS topic FROM hits JOIN page_texts USING (page_id)),
 counted AS (SELECT query, topic, count(*) AS count FROM words GROUP BY ALL)
 SELECT query AS query_id, topic, count, rank FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY count DESC, topic) AS INT) AS rank FROM counted) WHERE rank <= 10""")
@@ -116,7 +116,7 @@ def _(t):
     p = parsed(t)
     docs = p.withColumn("text", pg.analysis_text(F.col("title"), F.col("content"), F.col("meta_description"))).select(
         "page_id", F.array_distinct(pg.topic_words(F.col("text"))).alias("topics"),
-        F.filter(pg.key_phrases(F.lower("text")), lambda k: k == "how to").alias("key_phrases"))
+        pg.key_phrases(F.lower("text")).alias("key_phrases"))
     terms = searches(t).select(F.col("query").alias("query_id"), F.explode(F.array_distinct(retrieval.index_terms(F.col("query")))).alias("term"))
     titles = retrieval.postings(p, ("title",))
     hits = terms.join(titles.select("term", "page_id"), "term").select("query_id", "page_id").distinct()
@@ -126,7 +126,7 @@ def _(t):
 # ---------------------------------------------------------------- results of several backends
 cte("results", """
 SELECT p.page_id * 10 + b.i AS row_id, p.page_id % 25 AS query_id, b.name AS source, p.url || CASE WHEN b.i = 1 THEN '&utm_medium=x' ELSE '' END AS url,
-  p.title || CASE b.i WHEN 1 THEN ' more' ELSE '' END AS title, left(p.content, 400 + 20 * b.i) AS content,
+  p.title || CASE b.i WHEN 1 THEN ' more' ELSE '' END AS title, p.content || repeat(' more', b.i) AS content,
   CASE WHEN p.page_id % 7 = 6 THEN NULL ELSE round((p.page_id * 37 + b.i * 11) % 100 / 10.0::DOUBLE, 1) END AS score
 FROM parsed_pages p JOIN (SELECT unnest([0, 1, 2]) AS i, unnest(['go_crawler', 'searxng', 'custom_index']) AS name) b
 ON p.page_id % 3 = b.i OR (p.page_id % 5 = 0 AND (p.page_id + 1) % 3 = b.i)""")
@@ -143,7 +143,7 @@ def results(t):
     return each.select(
         (F.col("page_id") * 10 + i).alias("row_id"), (F.col("page_id") % 25).alias("query_id"), F.element_at(names, i + 1).alias("source"),
         F.concat("url", F.when(i == 1, "&utm_medium=x").otherwise("")).alias("url"),
-        F.concat("title", F.when(i == 1, " more").otherwise("")).alias("title"), F.left("content", 400 + i * 20).alias("content"),
+        F.concat("title", F.when(i == 1, " more").otherwise("")).alias("title"), F.concat("content", F.expr("repeat(' more', i)")).alias("content"),
         F.when(F.col("page_id") % 7 != 6, F.round((F.col("page_id") * 37 + i * 11) % 100 / 10.0, 1)).alias("score"))
 
 

@@ -108,16 +108,16 @@ def _(t):
     return topics.category_counts(t.queries())
 
 
-# pages as answers to topics
+# pages as answers to topics, ten a topic
 cte("seed_candidates", """
-SELECT 'topic' || page_id % 20 AS topic, url, title, 'e' || page_id % 3 AS engine, page_id // 20 AS position, page_id % 6 AS n_engines,
+SELECT 'topic' || page_id // 10 AS topic, url, title, 'e' || page_id % 3 AS engine, page_id % 10 AS position, page_id % 6 AS n_engines,
   CASE WHEN page_id % 4 = 0 THEN '' ELSE title END AS content, CASE WHEN page_id % 5 = 0 THEN 'x.png' END AS thumbnail FROM parsed_pages""")
 cte("scored_seeds", f"""
 SELECT topic, url, title, engine, position, {part('url', 2)} AS domain, greatest(0, 1 - position / 20) * 0.4::DOUBLE + least(1, n_engines / 5) * 0.3::DOUBLE
   + CASE WHEN length(content) > 0 THEN 0.15::DOUBLE ELSE 0.0 END + CASE WHEN length(thumbnail) > 0 THEN 0.1::DOUBLE ELSE 0.0 END
   + CASE WHEN {any_sub(part('url', 2), vocab.AUTHORITATIVE_PATTERNS)} THEN 0.15::DOUBLE ELSE 0.0 END AS score FROM seed_candidates""")
 cte("domain_firsts", """
-SELECT * FROM scored_seeds WHERE score >= 0.5 AND position < 8 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, topic, position, url) = 1""")
+SELECT * FROM scored_seeds WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY score DESC, topic, position, url) = 1""")
 cte("seeds", """
 SELECT * FROM (SELECT * FROM domain_firsts QUALIFY row_number() OVER (PARTITION BY topic ORDER BY position, url) <= 4)
 QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, topic) = 1""")
@@ -128,8 +128,8 @@ def seed_candidates(t):
 
     k = F.col("page_id")
     return html_to_page(t.table("pages")).select(
-        F.concat(F.lit("topic"), (k % 20).cast("string")).alias("topic"), "url", "title", F.concat(F.lit("e"), (k % 3).cast("string")).alias("engine"),
-        F.floor(k / 20).alias("position"), (k % 6).alias("n_engines"), F.when(k % 4 == 0, "").otherwise(F.col("title")).alias("content"),
+        F.concat(F.lit("topic"), F.expr("page_id div 10").cast("string")).alias("topic"), "url", "title", F.concat(F.lit("e"), (k % 3).cast("string")).alias("engine"),
+        (k % 10).alias("position"), (k % 6).alias("n_engines"), F.when(k % 4 == 0, "").otherwise(F.col("title")).alias("content"),
         F.when(k % 5 == 0, "x.png").alias("thumbnail"))
 
 
@@ -144,7 +144,7 @@ def _(t):
     c = seed_candidates(t)
     s = c.select("topic", "url", "title", "engine", "position", spark_part(F.col("url"), 2).alias("domain"), topics.seed_score(
         F.col("position"), F.col("n_engines"), F.col("content"), F.col("thumbnail"), F.col("url")).alias("score"))
-    firsts = topics.first_seen_per_domain(s.where((F.col("score") >= 0.5) & (F.col("position") < 8)))
+    firsts = topics.first_seen_per_domain(s.where(F.col("score") >= 0.5))
     return firsts.select("domain", "url", "topic", r6(F.col("score")).alias("score"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PAGE_LIMIT = 1000  # fixed value: the largest page a listing returns
+PAGE_LIMIT = 1000  # fixed value: the largest page a listing returns unless told otherwise
 
 # The tables of the platform, in Spark DDL.
 CATALOGUE: dict[str, str] = {
@@ -75,12 +75,13 @@ def load_jdbc(spark: SparkSession, url: str, name: str, split_column: str, low:
 
 
 def list_rows(df: DataFrame, filters: Mapping[str, Any] | None = None, skip: int = 0, limit: int = 100,
-              order: Sequence[str | Column] = ("id",)) -> DataFrame:
-    """Equality filters, then one page. Negative numbers count as 0; a page has at most 1000 rows."""
+              order: Sequence[str | Column] = ("id",), largest: int | None = PAGE_LIMIT) -> DataFrame:
+    """Equality filters, then one page. Negative numbers count as 0; a page has at most ``largest`` rows (None: any)."""
     for column, value in (filters or {}).items():
         if value is not None:
             df = df.where(F.col(column) == F.lit(value))
-    return df.orderBy(*order).offset(max(skip, 0)).limit(min(max(limit, 0), PAGE_LIMIT))
+    rows = max(limit, 0) if largest is None else min(max(limit, 0), largest)
+    return df.orderBy(*order).offset(max(skip, 0)).limit(rows)
 
 
 def accepted(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
