@@ -19,6 +19,12 @@ from tidemark.llm.common import SPACE_WORD, written
 UNIT = 1_000_000  # rates are rounded to this fraction, so running sums are exact
 CAP = 3
 PHASES = 32
+BROADCAST_SOURCES = 10_000  # rows of a few numbers each; a longer list of sources is joined by a shuffle
+
+
+def _by_source(docs: DataFrame, rows: DataFrame, n: int, name: str) -> DataFrame:
+    """``docs`` with the columns of ``rows``, of which there are ``n``, one for each source (column ``name``)."""
+    return docs.join(F.broadcast(rows) if n <= BROADCAST_SOURCES else rows, docs["source"].eqNullSafe(rows[name]))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP) -> dict[str | None, float]:
@@ -45,12 +51,12 @@ def _multipliers(docs: DataFrame, goal: dict[str | None, float], scale: dict[str
     spark, log_cap = docs.sparkSession, math.log(cap)
     state = {s: [0.0, -math.inf, math.inf] for s in goal}
     for _ in range(rounds):
-        now = spark.createDataFrame([(s, x[0], scale[s]) for s, x in state.items()], "source string, tilt double, scale double")
+        now = spark.createDataFrame([(s, x[0], scale[s]) for s, x in state.items()], "s string, tilt double, scale double")
         z = F.col("size") / F.col("scale")
         rate = F.exp(F.least(F.col("tilt") * z, F.lit(log_cap)))
         inside = F.when(F.col("tilt") * z < log_cap, rate * z * F.col("size")).otherwise(0.0)
         exact = lambda c: F.sum(c.cast("decimal(28,6)")).cast("double")  # noqa: E731  sums that don't depend on their order
-        sums = (docs.join(now, docs["source"].eqNullSafe(now["source"])).groupBy(docs["source"])
+        sums = (_by_source(docs, now, len(state), "s").groupBy("source")
                 .agg(exact(rate * F.col("size")).alias("got"), exact(inside).alias("slope")).collect())
         off = 0.0
         for r in sums:
@@ -91,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     rows = [(s, sizes[s], float(goal[s]), float(tilt.get(s, 0.0)), scale[s], s in open_) for s in goal]
     by = docs.sparkSession.createDataFrame(rows, "s string, source_size long, target double, tilt double, scale double, open boolean")
     rate = F.when(F.col("open"), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(math.log(cap))))).otherwise(F.lit(float(cap)))
-    docs = docs.join(by, docs["source"].eqNullSafe(by["s"])).withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
+    docs = _by_source(docs, by, len(rows), "s").withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
     docs = docs.withColumn("units", F.least(F.lit(cap * UNIT), F.round(F.col("rate") * UNIT)).cast("long"))
     # A source is cut along the rounding order (size class, then a hash), so that no window spans a whole source; the sum
     # carried into each cut makes the running sum that of the whole source.
@@ -109,7 +115,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     phases = [UNIT * (2 * i + 1) // (2 * PHASES) for i in range(PHASES)]
     ends = docs.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(F.expr(f"{copies(p)} * size")).alias(f"p{p}") for p in phases]).collect()
     best = [(r["source"], min(phases, key=lambda p: (abs(r[f"p{p}"] - r["target"]), p))) for r in ends]
-    best = docs.sparkSession.createDataFrame(best, "s string, phase long")
-    docs = docs.join(best, docs["source"].eqNullSafe(best["s"]))
+    docs = _by_source(docs, docs.sparkSession.createDataFrame(best, "s string, phase long"), len(best), "s")
     return docs.select("doc_id", "source", "size", "source_size", "target", "rate", F.expr(f"cast({copies('phase')} as int) as copies"),
                        F.expr(f"cast({copies('phase')} * size as bigint) as taken"), F.col("h").alias("row_hash"))
