@@ -26,14 +26,17 @@ MANIFEST = "file string, shard int, records long, bytes long, sha256 string, fir
 
 
 def _records(pages: DataFrame, min_payload: int) -> DataFrame:
-    """page_id, url, payload, content (its sha256), refers_to: the smallest page_id with an equal payload, if another."""
+    """page_id, url, payload, content (the payload's sha256) of every row, and ahead of the rows that are revisits one marker
+    per (page_id, content), with refers_to: the smallest page_id with an equal payload. Only markers pass the join by
+    content; payloads move once, to their shard."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    base = base.withColumn("content", F.sha2("payload", 256)).withColumn("n", F.length("payload"))
-    first = base.filter(F.col("n") >= min_payload).groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    base = base.withColumn("content", F.sha2("payload", 256))
+    keys = base.filter(F.length("payload") >= min_payload).select("page_id", "content")
+    first = keys.groupBy("content").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
     first = first.filter("copies > 1 and first is not null").select("content", "first")
-    joined = base.join(first, "content", "left")
-    return joined.select("page_id", "url", "payload", "content", "n", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    marks = keys.join(first, "content").filter(~F.col("page_id").eqNullSafe(F.col("first"))).groupBy("page_id", "content").agg(F.min("first").alias("refers_to"))
+    return base.withColumn("refers_to", F.lit(None).cast("long")).unionByName(marks, allowMissingColumns=True)
 
 
 def _sharded(records: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
@@ -112,21 +115,25 @@ def write_archive(pages: DataFrame, folder: str, min_payload: int = 0, shard_byt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        file, part = None, 0
+        file, part, mark = None, 0, {}
         for batch in batches:
             for r in batch.to_pylist():
+                if r["refers_to"] is not None:
+                    mark = r
+                    continue
+                refers_to = mark["refers_to"] if mark and (mark["page_id"], mark["content"]) == (r["page_id"], r["content"]) else None
                 if file is not None and (file.shard != r["shard"] or file.size >= file_bytes):
                     part = part + 1 if file.shard == r["shard"] else 0
                     yield pa.RecordBatch.from_pylist([file.close()], schema=arrow)
                     file = None
                 if file is None:
                     file = _File(store, root, r["shard"], part)
-                file.add(r["page_id"], warc_record(r["page_id"], r["url"], r["payload"], r["content"], r["refers_to"], date))
+                file.add(r["page_id"], warc_record(r["page_id"], r["url"], r["payload"], r["content"], refers_to, date))
         if file is not None:
             yield pa.RecordBatch.from_pylist([file.close()], schema=arrow)
 
     ordered = records.repartition(shards, "shard").sortWithinPartitions(
-        "shard", F.col("page_id").asc_nulls_last(), "content", F.col("url").asc_nulls_last())
+        "shard", F.col("page_id").asc_nulls_last(), "content", F.col("refers_to").asc_nulls_last(), F.col("url").asc_nulls_last())
     made = ordered.select("shard", "page_id", "url", "payload", "content", "refers_to").mapInArrow(run, MANIFEST)
     made.write.json(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(MANIFEST).json(f"{folder}/_manifest")
