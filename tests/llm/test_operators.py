@@ -130,6 +130,37 @@ def test_near_copies(spark, none):
     assert got == {9: 4, 4: 4, 5: 5, 6: 6} and simhash.near_copies(none).count() == 0
 
 
+def brute_copies(texts, n=5):
+    """component (smallest index) of each text: exact Jaccard of distinct shingles, all pairs."""
+    sets = [set(simhash.shingles(t.encode(), n)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def copies_of(spark, texts):
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_copies_of_busy_keys(spark, block, monkeypatch):
+    """Hundreds of different texts under the same tokens: pages around one template, 0.7 to 0.9 alike, chained or not."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, template = np.random.default_rng(3), [f"t{i}" for i in range(120)]
+    pages = []
+    for i in range(240):  # most differ from each other, some are near the template or another page
+        share = int(rng.choice([4, 8, 11, 13, 18, 25]))
+        pages.append(" ".join(template[share:] + [f"p{i}x{k}" for k in range(share)]))
+    texts = [*pages, " ".join(template), *[p + " more words" for p in pages[::7]]]
+    want = brute_copies(texts)
+    assert 20 < len(set(want)) < len(texts) - 20 and copies_of(spark, texts) == want
+
+
 def base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

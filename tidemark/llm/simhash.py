@@ -8,6 +8,7 @@ that chain is equal, so equal segments find the candidates, and the chain prunes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,10 @@ from tidemark.llm.components import components
 
 GROUP = 64  # fingerprints with an equal segment that are paired directly; larger groups meet at midpoints
 SEED = 42
+SAMPLE = 8_000  # texts, or a 32nd of all if that is more, that show which tokens are common
+COMMON = 100_000  # tokens whose count is known; the others pass for rare
+BLOCK = 512  # sets on each side of a block of pairs
+COLUMNS = 4096  # tokens of a block taken at once
 
 
 def shingles(text: bytes, n: int) -> list[bytes]:
@@ -134,34 +139,168 @@ def near_duplicates(docs: DataFrame, n: int = 3, t: int = 2) -> DataFrame:
     return prints.join(by, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, width: int = 16, key_bits: int = 21) -> DataFrame:
-    """doc_id, text_hash, component_id: texts whose sets of n-word shingles are about ``similarity`` alike or more, by long fingerprints.
+def tokens(text: bytes, n: int) -> np.ndarray:
+    """Hashes of the distinct n-word shingles, in ascending order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in shingles(text, n)), np.uint64))
 
-    ``width`` words of 64 bits estimate the angle between shingle sets to about 1 %. A Jaccard similarity J is a cosine of
-    2J / (1 + J), which sets the number of bits that may differ. Texts that share any key of ``key_bits`` bits meet; within
-    a key each meets the smallest and the next two fingerprints, so work grows with rows and not with pairs. The ring of the
-    ``width`` words prunes before the full check. Rows as in ``near_duplicates``.
+
+def _set_id(x: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+
+
+def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that many texts hold, in ascending order, and how many; from a sample, as they only order the tokens."""
+    share = max(1, min(texts.count() // SAMPLE, 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [np.array([], np.uint64), *[tokens(t, n) for t in set(byte_texts(batch["text"]))]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["token"])
+
+    got = texts.filter(F.pmod("text_hash", F.lit(share)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    got = got.orderBy(F.desc("c"), "token").limit(COMMON).toArrow()
+    token, c = got["token"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    order = np.argsort(token)
+    return token[order], c[order]
+
+
+def _prefix(x: np.ndarray, common: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """The rarest tokens, as many as one of them must be shared by any set that is num / den alike or more."""
+    token, c = common
+    seen = np.zeros(len(x), np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+        seen = np.where(token[at] == x, c[at], 0)
+    return x[np.lexsort((x, seen))[:len(x) + num * len(x) // -den + 1]] if len(x) else x
+
+
+def alike_in_block(sids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges whose components are those of all pairs of different ``comps`` that are num / den alike or more, by one
+    product of the matrix of sets and shared tokens."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = many[token] > 1
+    owner, token = owner[keep], (np.cumsum(many > 1) - 1)[token[keep]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, COLUMNS):
+        a, b = np.searchsorted(token, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[a:b], token[a:b] - at] = 1
+        both += (m @ m.T).astype(np.int64)
+    tied = (both * den >= (sizes[:, None] + sizes[None, :] - both) * num) & (comps[:, None] != comps[None, :])
+    np.fill_diagonal(tied, True)
+    label = np.arange(len(sets))
+    while True:
+        low = np.where(tied, label[None, :], len(sets)).min(1)
+        if (low == label).all():
+            break
+        label = low
+    return [(int(sids[i]), int(sids[j])) for i, j in enumerate(label.tolist()) if i != j]
+
+
+def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, component_id: texts whose sets of n-word shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Every pair is settled by its exact similarity (shingles as 64-bit hashes). Equal sets fold to one. Two sets that are
+    alike enough share one of the rarest tokens of each (prefix filter), so sets meet by these. Under a token of up to GROUP
+    sets all pairs are compared, but for those that share too few of the tokens. Under a token of more, a set is first
+    compared with the smallest and the two before it; where that leaves different components, all their pairs are compared
+    by blocks. So a large family of copies costs no pairs, and no pair is left out. Rows as in ``near_duplicates``; texts without words are one component.
     """
-    bits = 64 * width
-    t = int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    prints = written(fingerprints(docs, n, width), "near-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("id", F.xxhash64("fp")), "near-distinct")
-    per = 64 // key_bits
-    keys = F.array(*[F.struct(F.lit(k * per + j).alias("i"), F.shiftrightunsigned(F.col("fp")[k], j * key_bits).bitwiseAND(F.lit((1 << key_bits) - 1).cast("long")).alias("key"))
-                     for k in range(width) for j in range(per)])
-    cells = distinct.select("id", F.explode(keys).alias("c")).select("c.i", "c.key", "id")
-    by = Window.partitionBy("i", "key").orderBy("id")
-    meet = cells.select("id", F.array(F.first("id").over(by), F.lag("id", 1).over(by), F.lag("id", 2).over(by)).alias("others"))
-    pairs = meet.select("id", F.explode("others").alias("other")).filter("other <> id").distinct()
-    prn = distinct.select("id", "fp")
-    pairs = pairs.join(prn.withColumnRenamed("fp", "x"), "id").join(prn.select(F.col("id").alias("other"), F.col("fp").alias("y")), "other")
-    pairs = pairs.withColumn("d", F.expr(f"transform(sequence(0, {width - 1}), k -> bit_count(x[k] ^ y[k]))"))
-    differ = [F.col("d")[k] for k in range(width)]
-    pairs = pairs.filter(F.expr(f"exists(sequence(0, {width - 1}), s -> aggregate(sequence(0, {width - 1}), named_struct('sum', 0, 'ok', true), "
-                                f"(z, l) -> named_struct('sum', z.sum + d[(s + l) % {width}], 'ok', z.ok AND z.sum + d[(s + l) % {width}] <= (l + 1) * {t} div {width}), z -> z.ok))"))
-    pairs = pairs.filter(sum(differ[1:], differ[0]) <= t).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    roots = components(pairs).withColumnRenamed("node", "id")
+    num, den = Fraction(str(similarity)).as_integer_ratio()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64())])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_set_id(tokens(t, n)) for t in byte_texts(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(ids, pa.int64())], schema=schema)
+
+    prints = written(texts.mapInArrow(name, "doc_id long, text_hash long, id long"), "near-prints")
+    distinct = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "near-distinct")
+    common = _common(texts, n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
+        for batch in batches:
+            got, ids, sizes = [np.array([], np.uint64)], [], []
+            for t in byte_texts(batch["text"]):
+                x = tokens(t, n)
+                if (i := _set_id(x)) not in done:
+                    done.add(i)
+                    got.append(_prefix(x, common, num, den))
+                    ids.append(i)
+                    sizes.append(len(x))
+            many = [len(p) for p in got[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), many)),
+                                              pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate([np.array([], np.int32), *[np.arange(k, dtype=np.int32) for k in many]]))],
+                                             names=["token", "id", "size", "at"])
+
+    cells = texts.select("text").mapInArrow(meet, "token long, id long, size int, at int").repartition(F.col("token")).dropDuplicates(["token", "id"])
+    by = Window.partitionBy("token")
+    line = by.orderBy("size", "id")
+    cells = cells.withColumn("n", F.count("*").over(by)).withColumn(
+        "others", F.array(*[F.struct(x("id"), x("size")) for x in (lambda c: F.first(c).over(line).alias(c), lambda c: F.lag(c, 1).over(line).alias(c), lambda c: F.lag(c, 2).over(line).alias(c))]))
+    cells = written(cells.filter("n > 1"), "near-cells")
+
+    close = lambda p, q: F.least(p, q).cast("long") * den >= F.greatest(p, q).cast("long") * num
+    big = cells.filter(F.col("n") > GROUP)
+    stars = big.select("id", "size", F.explode("others").alias("o")).filter("o.id <> id").filter(close(F.col("size"), F.col("o.size")))
+    stars = stars.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    # tokens shared up to the last known place, in big groups at most all of them, and all that follow
+    few = cells.filter(F.col("n") <= GROUP).select("token", "id", "size", "at")
+    few = few.join(big.groupBy("id").agg(F.count("*").alias("hot")), "id", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    side = lambda x: few.select("token", *[F.col(c).alias(c + x) for c in ("id", "size", "at", "hot")])
+    pairs = side("1").join(side("2"), "token").filter("id1 < id2").filter(close(F.col("size1"), F.col("size2")))
+    pairs = pairs.groupBy(F.col("id1").alias("a"), F.col("id2").alias("b"), "size1", "size2", "hot1", "hot2").agg(
+        F.count("*").alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
+    most = F.col("c") + F.least("hot1", "hot2") + F.least(F.col("size1") - F.col("at1") - 1, F.col("size2") - F.col("at2") - 1)
+    pairs = pairs.filter(most * (num + den) >= (F.col("size1") + F.col("size2")).cast("long") * num).select("a", "b")
+    tried = written(stars.union(pairs).distinct(), "near-tried")
+    wanted = tried.select("a").union(tried.select("b")).union(big.select("id")).toDF("id").distinct()
+    wanted = wanted.join(distinct, "id").select("id", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
+    set_schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.int64()))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # repeated rows
+        for batch in batches:
+            got = {}
+            for i, t in zip(batch["id"].to_pylist(), byte_texts(batch["text"]), strict=True):
+                if i not in done:
+                    done.add(i)
+                    got[i] = tokens(t, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.list_(pa.int64()))], schema=set_schema)
+
+    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["text_hash"] == wanted["h"]))
+    sets = written(rows.select("id", "text").mapInArrow(build, "id long, x array<long>"), "near-sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of the pairs a < b, those whose sets are alike enough."""
+        both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y")).cast("long")
+        return both.filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
+
+    edges = written(alike(tried), "near-edges")
+    roots = components(edges).withColumnRenamed("node", "id").withColumnRenamed("root", "comp")
+    open_ = big.select("token", "id", "n").join(roots, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = open_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
+    open_ = written(open_.join(mixed, "token"), "near-open")
+
+    def block(part: pa.Table) -> pa.Table:
+        flat = part["x"].combine_chunks()
+        sets_ = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1])
+        found = alike_in_block(part["id"].to_numpy(), part["comp"].to_numpy(), sets_, num, den)
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = open_.withColumn("i", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    many = many.select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "comp").join(sets, "id")
+    edges = edges.union(many.groupBy("token", "i", "j").applyInArrow(block, "a long, b long"))
+    roots = components(edges).withColumnRenamed("node", "id")
     named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(ids, "root").select("id", "component_id")
-    return prints.select("doc_id", "text_hash", F.xxhash64("fp").alias("id")).join(by_print, "id").select("doc_id", "text_hash", "component_id")
+    by_set = named.join(ids, "root").select("id", "component_id")
+    return prints.join(by_set, "id").select("doc_id", "text_hash", "component_id")
