@@ -161,6 +161,22 @@ def test_near_copies_of_busy_keys(spark, block, monkeypatch):
     assert 20 < len(set(want)) < len(texts) - 20 and copies_of(spark, texts) == want
 
 
+def test_near_copies_exact(spark):
+    """Pairs just above and below 0.8: short, long and repetitive texts; repeats within a text do not count."""
+    words = lambda p, n: [f"{p}{i}" for i in range(n)]
+    texts = []
+    for n in (7, 8, 9, 10, 12, 24, 100, 300):  # n words and some more, or fewer, at the end
+        for more in {1, 2, 3, (n - 4) // 4, (n - 4) // 4 + 1, (n - 4) // 5}:
+            w = words(f"w{n}m{more}q", n)
+            texts += [" ".join(w), " ".join(w + words(f"z{n}m{more}q", more))]
+    line = " ".join(words("line", 12)) + " "
+    texts += [line * 100 + " ".join(words("own", 30)), line * 100 + " ".join(words("other", 30))]  # one bulk, different texts
+    rest = words("rest", 40)
+    texts += [" ".join(rest), " ".join(rest + rest[:20] + rest), " ".join(rest * 30)]  # one set, but for the seams
+    want = brute_copies(texts)
+    assert want[-5] != want[-4] and len({*want[-3:]}) == 1 and copies_of(spark, texts) == want
+
+
 def base_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
