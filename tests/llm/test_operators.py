@@ -89,6 +89,25 @@ def test_run_index_matches():
         assert got[i] == best, (i, got[i], best)
 
 
+def test_run_index_ties():
+    """Many equal suffixes: their order must be the same from one place to the next, or matches are lost."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        strings = []
+        for _ in range(12):  # the same body under four heads, two of them equal, and near relatives
+            body = bytes(rng.choice(list(b"abc"), 12).tolist())
+            heads = rng.choice(list(b"pqr"), 4).tolist()
+            strings += [bytes([h]) + body for h in heads] + [body[: int(rng.integers(4, 12))]]
+        strings = [strings[i] for i in rng.permutation(len(strings))]
+        got, at = runindex.RunIndex(strings).matches_elsewhere(), 0
+        grams = Counter(s[i:j] for s in strings for i in range(len(s)) for j in range(i + 1, len(s) + 1))
+        for s in strings:
+            for i in range(len(s)):
+                best = max((j - i for j in range(i + 1, len(s) + 1) if grams[s[i:j]] > 1), default=0)
+                assert got[at + i] == best, (s, i, got[at + i], best)
+            at += len(s) + 1
+
+
 def brute_print(text):
     w = (text or "").encode().lower().split()
     s = [b" ".join(w[i:i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([b" ".join(w)] if w else [])

@@ -125,12 +125,14 @@ class RunIndex:
         text = text + np.uint16(1)
         text[self.ends] = 0
         self.text, n = text, len(text)
-        longest = int(self.sizes.max(initial=0))
         padded = np.concatenate([text, np.zeros(4, np.uint16)]).astype(np.uint64)
         four = (padded[:n] << np.uint64(48)) | (padded[1:n + 1] << np.uint64(32)) | (padded[2:n + 2] << np.uint64(16)) | padded[3:n + 3]
-        order = np.argsort(four)
-        rank, size = self._ranks(four, order), 4
-        while size < longest and rank[order[-1]] < n - 1:
+        # separators differ by place, so no two suffixes are equal and followers keep the order that matches_elsewhere needs
+        room = self._room(np.arange(n))
+        masked = four & ~((np.uint64(1) << (np.uint64(16) * np.maximum(3 - room, 0).astype(np.uint64))) - np.uint64(1))
+        order = np.argsort(masked, kind="stable")
+        rank, size = self._ranks(masked, order, room < 4), 4
+        while n and rank[order[-1]] < n - 1:
             key = (rank.astype(np.uint64) << np.uint64(32)) | np.concatenate([rank[size:] + 1, np.zeros(min(size, n), np.int64)])[:n].astype(np.uint64)
             order = np.argsort(key)
             rank, size = self._ranks(key, order), size * 2
@@ -142,10 +144,12 @@ class RunIndex:
         self.samples = [(order[self.heads[1:]], order[self.heads[1:] - 1]), (order[self.heads[1:] - 1], order[self.heads[1:]])]
 
     @staticmethod
-    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
+    def _ranks(key: np.ndarray, order: np.ndarray, alone: np.ndarray | bool = False) -> np.ndarray:
+        """Equal keys have equal ranks, unless they stand alone."""
         sorted_ = key[order]
         out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], (sorted_[1:] != sorted_[:-1]).astype(np.int64)])) if len(key) else []
+        new = (sorted_[1:] != sorted_[:-1]) | np.broadcast_to(alone, len(key))[order][1:]
+        out[order] = np.cumsum(np.concatenate([[0], new.astype(np.int64)])) if len(key) else []
         return out
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
