@@ -149,6 +149,13 @@ def test_near_copies(spark, none):
     assert got == {9: 4, 4: 4, 5: 5, 6: 6} and simhash.near_copies(none).count() == 0
 
 
+def test_components_unsettled(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, rounds=1)
+
+
 def brute_copies(texts, n=5):
     """component (smallest index) of each text: exact Jaccard of distinct shingles, all pairs."""
     sets = [set(simhash.shingles(t.encode(), n)) for t in texts]

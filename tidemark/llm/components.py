@@ -13,7 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars: each round ties every node's larger, then smaller, neighbours to its smallest one.
     Hubs are aggregated before the shuffle and joined back, so no task gathers a neighbourhood. Every round is cut off its
-    lineage in the shared checkpoint folder; the driver reads two numbers per round.
+    lineage in the shared checkpoint folder; the driver reads two numbers per round. Rounds end when one changes nothing;
+    if ``rounds`` are not enough for that, it raises.
     """
     e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
@@ -30,4 +31,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
