@@ -306,6 +306,12 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.filter("vec_id in (50, 51)")).count() == 1
 
 
+def test_top_k_lengths(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(60)]
+    with pytest.raises(ValueError, match="2 to 3 components"):
+        topk.top_k(spark.createDataFrame([*rows, (60, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
 def test_warc(spark, tmp_path):
     pages = [(3, "http://a", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (5, "v", ""), (7, "w\nx", "z" * 5000), (7, "w\nx", "z" * 5000), (None, "n", "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("shard", F.lit(1))

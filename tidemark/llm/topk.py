@@ -36,8 +36,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     every row with another vec_id; ties to the smaller vec_id, fewer rows if there are fewer.
 
     ``vectors`` needs vec_id, embedding (other columns are ignored). Components become floor(scale * x). Rows with a null id
-    or vector, a null or non-finite component, or another length than the longest take no part. Repeated rows of one
-    vec_id count once. An empty table gives an empty result. Scores must fit 64 bits.
+    or vector, or a null or non-finite component take no part; vectors of different lengths raise an error. Repeated
+    rows of one vec_id count once. An empty table gives an empty result. Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
@@ -45,11 +45,12 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
         "embedding", lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     rows = vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"))
     rows = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-rows")
-    n, width, most = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    n, width, least, most = rows.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], out)
-    rows = rows.filter(F.size("v") == width)
+    if least != width:
+        raise ValueError(f"vectors have {least} to {width} components")
     parts, q_parts = max(1, -(-n // block), min(16, n // 256)), max(1, -(-n // query_every // query_block))
     home = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     data = rows.select(home("vec_id", parts).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q"), "vec_id", "v")
