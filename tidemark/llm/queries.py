@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pii, quality, runindex, simhash, substring, topk, warc, winnow
+from tidemark.llm import bpe, chat, mixing, pii, quality, runindex, simhash, substring, topk, warc, winnow
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
@@ -63,6 +63,16 @@ def op10_warc(spark: SparkSession, directory: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(table(spark, directory, "pages"), folder), folder)
 
 
+def op11_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = bpe.encode(table(spark, directory, "documents"), ranks, public_tokenizers.PATTERN)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
 SQL_SUBSTRING = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(ws) - 18)) t(i)),
@@ -144,6 +154,6 @@ FROM f
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op6_run_index": op6_run_index, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc,
+    "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op6_run_index": op6_run_index, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc, "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
