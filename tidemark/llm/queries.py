@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, mixing, pii, quality, runindex, simhash, substring, topk, warc, winnow
+from tidemark.llm import bpe, chat, mixing, pii, quality, runindex, simhash, substring, topk, warc, whiten, winnow, zonemap
 from tidemark.llm.common import table, token
 from tidemark.session import shared_folder
 
@@ -73,6 +73,14 @@ def op11_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
                         F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
+def op12_zone_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    return zonemap.cluster(table(spark, directory, "embeddings")).drop("compared")
+
+
+def op13_whitening(spark: SparkSession, directory: str) -> DataFrame:
+    return whiten.whitened(table(spark, directory, "embeddings"))
+
+
 SQL_SUBSTRING = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(ws) - 18)) t(i)),
@@ -153,7 +161,31 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
 FROM f
 """
 
+_ASSIGN = """
+a{r} AS MATERIALIZED (
+  SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(d) AS d, arg_min(c, d * 16 + c) AS c FROM (
+    SELECT id, vec_id, k.v, m.c, (list_inner_product(k.v::DOUBLE[], k.v::DOUBLE[]) - 2 * list_inner_product(k.v::DOUBLE[], m.v::DOUBLE[])
+      + list_inner_product(m.v::DOUBLE[], m.v::DOUBLE[]))::BIGINT AS d FROM kept k, c{r} m) GROUP BY id),"""
+_MOVE = """
+c{n} AS MATERIALIZED (
+  SELECT o.c, coalesce(any_value(m.v), any_value(o.v)) AS v FROM c{r} o LEFT JOIN (
+    SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) t(i) GROUP BY c, i) GROUP BY c) m ON m.c = o.c GROUP BY o.c),"""
+SQL_CLUSTERS = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, min(v) AS v FROM kept WHERE vec_id IS NOT NULL GROUP BY vec_id)
+  QUALIFY row_number() OVER (ORDER BY h) <= 16),""" + "".join(_ASSIGN.format(r=r) + _MOVE.format(r=r, n=r + 1) for r in range(3)) + _ASSIGN.format(r=3) + """
+named AS (SELECT c, sha256(array_to_string(v, ',')) AS h FROM c3)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a3 JOIN named USING (c)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup, "op2_personal_data": op2_personal_data, "op3_simhash": op3_simhash, "op4_mix_sources": op4_mix_sources, "op5_quality": op5_quality, "op6_run_index": op6_run_index, "op7_chat_format": op7_chat_format, "op8_winnowing": op8_winnowing, "op9_top_k": op9_top_k, "op10_warc": op10_warc, "op11_byte_bpe": op11_byte_bpe,
+    "op12_zone_clusters": op12_zone_clusters, "op13_whitening": op13_whitening,
 }
-ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC}
+ORACLES: dict[str, str] = {"op1_substring_dedup": SQL_SUBSTRING, "op7_chat_format": SQL_CHAT, "op8_winnowing": SQL_WINNOW, "op9_top_k": SQL_TOP_K, "op10_warc": SQL_WARC,
+                            "op12_zone_clusters": SQL_CLUSTERS}
