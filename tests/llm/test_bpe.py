@@ -1,9 +1,11 @@
 """Byte-level BPE against the tokenizer library, and back."""
 
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -21,6 +23,24 @@ def digest(doc_id, text):
     return doc_id, len(ids), h(",".join(map(str, ids)).encode()), h((text or "").encode())
 
 
+def test_cut_equals_the_pattern():
+    """The vectorised cutter and the regular expression agree on texts made of all that the pattern tells apart."""
+    assert bpe.GPT_PATTERN == public_tokenizers.PATTERN
+    rng, parts = random.Random(3), ["'", "s", "t", "re", "ve", "ll", "m", "d", "'s", "'re", "é", " ", "  ", "\n", "\t", "\x85", "\u00a0", "\u3000", "\x1c", "7", "½", "!", "\U0001F600", "的", "S", "x", "\0", "\u0301"]
+    for _ in range(300):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(0, 12))) for _ in range(30)]
+        data, ends, sizes = bpe.cut([t.encode() for t in texts], bpe.GPT_PATTERN)
+        body, begins = data.tobytes(), [0, *ends.tolist()]
+        got = [body[a:b].decode() for a, b in zip(begins, begins[1:])]
+        assert got == [w for t in texts for w in regex.findall(bpe.GPT_PATTERN, t)], texts
+        assert sizes.tolist() == [len(regex.findall(bpe.GPT_PATTERN, t)) for t in texts]
+        other = bpe.cut([t.encode() for t in texts], "(?:" + bpe.GPT_PATTERN + ")")
+        assert other[0].tobytes() == body and other[1].tolist() == ends.tolist() and other[2].tolist() == sizes.tolist()
+    every = "".join(chr(c) for c in range(0x2000) if c != 39)
+    data, ends, _ = bpe.cut([every.encode()], bpe.GPT_PATTERN)
+    assert len(ends) == len(regex.findall(bpe.GPT_PATTERN, every))
+
+
 def test_rank_hash_is_sparks(spark):
     data = [b"", b"a", b"\xff\x80", b"abcd", b"abcde\xfe\x01", bytes(range(250, 256)) * 3]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in data], "x binary").select(F.hash("x")).collect()]
@@ -31,6 +51,7 @@ def test_rank_hash_is_sparks(spark):
 def test_encode_and_decode(spark, head, monkeypatch):
     monkeypatch.setattr(bpe, "HEAD", head)
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 90)
     monkeypatch.setattr(bpe, "OUT_WORDS", 50)
     docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in TEXTS], "doc_id long, text string, ids int, words string, at string").repartition(2)
     coded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).withColumn("back", bpe.decode(F.col("ids"), RANKS))

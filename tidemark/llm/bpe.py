@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_texts
+from tidemark.llm.common import byte_texts, mix, written
 
 CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer document is a chunk of its own
 BUCKETS = 4096  # maps of the literal: about a dozen ranks in each
+NO_RANK, PLACE = (1 << 31) - 1, (1 << 32) - 1
 HEAD = 1 << 18  # words folded once for all tasks: at most about 10 MB
 HEAD_BYTES = 32  # longest word among them
-OUT_WORDS = 1 << 20  # words in a batch sent back
+PIECE_BYTES = 1 << 20  # of text cut at once
+OUT_WORDS = 1 << 19  # words in a batch sent back
+# fixed value: the pattern that ``word_starts`` knows; others go through the regular expression engine
+GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 CHUNK = "doc_ids array<long>, sizes array<long>, at array<int>, words array<binary>"
 _CHUNK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
@@ -81,31 +87,33 @@ def _with(value: Column, use: Callable[[Column], Column]) -> Column:
 def encode_word(word: Column, table: Column) -> Column:
     """Ids of one word (binary): the whole word if it has a rank, else what the ranked joins leave.
 
-    The state holds the pieces, with a null at either end, and the rank of each piece joined with the next (null: none).
+    The state is an array of longs, one for each piece: above 32 bits the rank of the piece joined with the next one (NO_RANK:
+    none), below them the place where the piece starts. So its minimum is the leftmost of the lowest ranks. Places before the
+    first and after the last piece are such that nothing joins there.
     """
+    size = F.octet_length(word)
     rank = lambda x: F.element_at(F.get(table, F.pmod(F.hash(x), F.lit(BUCKETS))), x)
-    none = F.array(F.lit(None).cast("binary"))
-
-    def begin(pieces: Column) -> Column:
-        pairs, no = F.transform(F.sequence(F.lit(1), F.octet_length(word) - 1), lambda i: rank(F.substring(word, i, F.lit(2)))), F.array(F.lit(None).cast("int"))
-        return F.struct(pieces.alias("pieces"), F.concat(no, pairs, no).alias("ranks"))
+    entry = lambda r, start: F.shiftleft(F.coalesce(r, F.lit(NO_RANK)).cast("long"), 32).bitwiseOR(start)
+    start_of = lambda x: x.bitwiseAND(F.lit(PLACE)).cast("int")
+    none = F.lit(NO_RANK << 32)
 
     def join(s: Column, _: Column) -> Column:
-        pieces, ranks = s["pieces"], s["ranks"]
-
-        def at(k: Column) -> Column:
-            def joined(piece: Column) -> Column:
-                beside = F.array(rank(F.concat(F.get(pieces, k - 2), piece)), rank(F.concat(piece, F.get(pieces, k + 1))))
-                return F.struct(F.concat(F.slice(pieces, F.lit(1), k - 1), F.array(piece), F.slice(pieces, k + 2, F.lit(1 << 30))).alias("pieces"),
-                                F.concat(F.slice(ranks, F.lit(1), k - 2), beside, F.slice(ranks, k + 2, F.lit(1 << 30))).alias("ranks"))
-
-            return _with(F.concat(F.get(pieces, k - 1), F.get(pieces, k)), joined)
-
-        return F.coalesce(_with(F.array_position(ranks, F.array_min(ranks)).cast("int"), lambda k: F.when(k.isNotNull(), at(k))), s)
-
-    bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(word, i, F.lit(1)))
-    folded = F.aggregate(F.sequence(F.lit(2), F.octet_length(word)), begin(F.concat(none, bytes_, none)), join, lambda s: s["pieces"])
-    ids = _with(folded, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), rank))
+        def at(low: Column) -> Column:
+            def around(k: Column) -> Column:
+                before, here, end = start_of(F.get(s, k - 2)), start_of(low), start_of(F.get(s, k + 1))
+                wider = rank(F.substring(word, before + 1, end - before))
+                longer = rank(F.substring(word, here + 1, start_of(F.get(s, k + 2)) - here))
+                return F.concat(F.slice(s, F.lit(1), k - 2), F.array(entry(wider, before), entry(longer, here)), F.slice(s, k + 2, F.lit(1 << 30)))
+
+            return _with(F.array_position(s, low).cast("int"), around)
+
+        return _with(F.array_min(s), lambda low: F.when(low >= none, s).otherwise(at(low)))
+
+    # places: one past every text before the first piece; the end; zero after it
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: entry(rank(F.substring(word, i, F.lit(2))), i - 1))
+    begin = F.concat(F.array(none.bitwiseOR(F.lit(1 << 30))), pairs, F.array(none.bitwiseOR(size - 1), none.bitwiseOR(size), none))
+    starts = F.aggregate(F.sequence(F.lit(2), size), begin, join, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), start_of))
+    ids = _with(starts, lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda start, i: rank(F.substring(word, start + 1, F.get(p, i + 1) - start))))
     return _with(rank(word), lambda r: F.when(r.isNull(), ids).otherwise(F.array(r)))
 
 
@@ -116,53 +124,138 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids: their binary pieces, concatenated. An id without a piece is an error."""
-    pieces = F.transform(piece_literal(ranks), lambda p: p.cast("string"))  # joined as they are, not read as UTF-8
-    return _with(pieces, lambda table: F.array_join(F.transform(ids, lambda i: F.coalesce(
-        F.get(table, i), F.raise_error(F.lit("an id without a piece")).cast("string"))), "").cast("binary"))
+    table = piece_literal(ranks).cast("array<string>")  # a constant; pieces are joined as they are, not read as UTF-8
+    piece = lambda i: F.coalesce(F.get(table, i), F.raise_error(F.lit("an id without a piece")).cast("string"))
+    return F.array_join(F.transform(ids, piece), "").cast("binary")
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Of every code point: 0 white space, 1 letter, 2 number, 3 anything else."""
+    out = np.full(sys.maxunicode + 1, 3, np.uint8)
+    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(len(out)))
+    for number, name in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for m in regex.finditer(name, every):
+            out[m.start():m.end()] = number
+    return out
+
+
+def word_starts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which code points begin a match of GPT_PATTERN; ``first`` holds the places where texts begin."""
+    n = len(codes)
+    kind = np.concatenate([_classes()[codes], [0, 0, 0]])
+    text = np.zeros(n + 1, bool)
+    text[first] = text[n] = True
+    new = text.copy()
+    new[1:n] |= kind[1:n] != kind[:n - 1]
+    # of a run of white space before a word the last character stands alone; a blank goes with the word instead
+    last = np.flatnonzero((kind[:n] == 0) & (kind[1:n + 1] != 0) & ~text[1:])
+    new[last] = True
+    new[last[codes[last] == 32] + 1] = False
+    # contractions: an apostrophe that begins a match, with the letters it takes
+    at = np.flatnonzero((codes == 39) & new[:n])
+    padded = np.concatenate([codes, np.zeros(3, codes.dtype)])
+    ends = np.concatenate([text, [True, True, True]])
+    one = at[np.isin(padded[at + 1], [ord(c) for c in "stmd"]) & ~ends[at + 1]]
+    pairs = (padded[at + 1].astype(np.int64) << 21) | padded[at + 2]
+    two = at[np.isin(pairs, [(ord(x) << 21) | ord(y) for x, y in ("re", "ve", "ll")]) & ~ends[at + 1] & ~ends[at + 2]]
+    new[one + 1] = new[two + 1] = False
+    new[np.concatenate([one + 2, two + 3])] = True
+    return new[:n]
+
+
+def cut(texts: list[bytes], pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All matches of ``pattern`` in UTF-8 texts: the joined texts, where words end in them, and the words of each text."""
+    if pattern == GPT_PATTERN:
+        strings = [t.decode("utf-8", "replace") for t in texts]
+        sizes = np.array([len(x) for x in strings], np.int64)
+        codes = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(sizes)
+        new = word_starts(codes, (ends - sizes)[sizes > 0])
+        width = np.cumsum(1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))
+        stops = np.append(np.flatnonzero(new)[1:], len(codes)) if len(codes) else np.array([], np.int64)
+        upto = np.concatenate([[0], np.cumsum(new)])
+        return np.frombuffer("".join(strings).encode(), np.uint8), width[stops - 1], np.diff(np.concatenate([[0], upto[ends]]))
+    words = [regex.findall(pattern, t.decode("utf-8", "replace")) for t in texts]
+    flat = [w.encode() for ws in words for w in ws]
+    return (np.frombuffer(b"".join(flat), np.uint8), np.cumsum(np.array([len(w) for w in flat], np.int64)), np.array([len(ws) for ws in words], np.int64))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word of ``data``, by its bytes and their places in it."""
+    if not len(ends):
+        return np.array([], np.uint64)
+    sizes = np.diff(ends, prepend=0)
+    begins = ends - sizes
+    place = np.arange(len(data)) - np.repeat(begins, sizes)
+    powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    return mix(np.add.reduceat(mix(np.arange(1, 257, dtype=np.uint64))[data] * powers[place], begins) ^ sizes.astype(np.uint64))
 
 
 class Cutter:
-    """Cuts texts into words and names them: known words first, then those of the chunk in order of appearance."""
+    """Cuts texts into words and numbers them: known words (by hash, rising) first, then the others of the chunk."""
 
-    def __init__(self, pattern: str, known: list[str]):
-        self.split, self.known = regex.compile(pattern).findall, {w: i for i, w in enumerate(known)}
+    def __init__(self, pattern: str, known: np.ndarray):
+        self.pattern, self.known = pattern, known
 
-    def chunks(self, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[int], np.ndarray, list[str]]]:
-        ids, sizes, at, new, held = [], [], [], {}, 0
+    def chunks(self, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
+        """doc_ids, words of each document, numbers of all words, and the words that are not known."""
+        pieces, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), byte_texts(batch["text"]), strict=True):
-                words, first = self.split(text.decode("utf-8", "replace")), len(self.known)
-                for w in set(words):
-                    if w not in self.known and w not in new:
-                        new[w] = first + len(new)
-                ids.append(doc_id)
-                sizes.append(len(words))
-                at.append(np.fromiter((self.known[w] if w in self.known else new[w] for w in words), np.int32, len(words)))
-                held += len(text) + 64
+            ids, texts = batch["doc_id"].to_pylist(), byte_texts(batch["text"])
+            first, many = 0, 0
+            for i, t in enumerate(texts):
+                many += len(t) + 64
+                if many >= PIECE_BYTES or i == len(texts) - 1:
+                    pieces.append(self.piece(ids[first:i + 1], texts[first:i + 1]))
+                    first, held, many = i + 1, held + many, 0
                 if held >= size:
-                    yield ids, sizes, np.concatenate(at), list(new)
-                    ids, sizes, at, new, held = [], [], [], {}, 0
-        if ids:
-            yield ids, sizes, np.concatenate(at), list(new)
-
-
-def _common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int]) -> tuple[list[str], list[list[int]]]:
-    """The HEAD words held by most chunks, more than one, and their ids. Which words these are changes the work, not the ids."""
+                    yield self.joined(pieces)
+                    pieces, held = [], 0
+        if pieces:
+            yield self.joined(pieces)
+
+    def piece(self, ids: list, texts: list[bytes]) -> tuple:
+        data, ends, sizes = cut(texts, self.pattern)
+        hashes, place, at = np.unique(word_hashes(data, ends), return_index=True, return_inverse=True)
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        body = data.tobytes()
+        return ids, sizes, hashes, at.astype(np.int32), [body[a:b] for a, b in zip(begins[place].tolist(), ends[place].tolist(), strict=True)]
+
+    def joined(self, pieces: list[tuple]) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
+        every = np.concatenate([p[2] for p in pieces])
+        words = [w for p in pieces for w in p[4]]
+        new, place = np.unique(every[~np.isin(every, self.known)], return_index=True)
+        place = np.flatnonzero(~np.isin(every, self.known))[place]
+        number = np.searchsorted(self.known, every).astype(np.int32)
+        unknown = ~np.isin(every, self.known)
+        number[unknown] = len(self.known) + np.searchsorted(new, every[unknown])
+        out, at = [], 0
+        for p in pieces:
+            out.append(number[at:at + len(p[2])][p[3]])
+            at += len(p[2])
+        return [i for p in pieces for i in p[0]], np.concatenate([p[1] for p in pieces]), np.concatenate(out), [words[i] for i in place.tolist()]
+
+
+def _common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int]) -> tuple[np.ndarray, pa.Array]:
+    """Hashes and ids of the HEAD words held by most chunks, more than one. Which words these are changes the work, not the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *_, words in Cutter(pattern, []).chunks(batches, CHUNK_BYTES):
-            short = [w.encode() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in short if len(w) <= HEAD_BYTES], pa.binary())], names=["word"])
+        for *_, words in Cutter(pattern, np.array([], np.uint64)).chunks(batches, CHUNK_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w) <= HEAD_BYTES], pa.binary())], names=["word"])
 
     counts = texts.mapInArrow(run, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word")
-    rows = head.groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.array_sort(F.collect_list("word")).alias("words"))
+    head = written(counts.orderBy(F.desc("n"), "word").limit(HEAD).select("word"), "bpe-head")
+    rows = head.repartition(64, "word").groupBy(F.pmod(F.xxhash64("word"), F.lit(64)).alias("part")).agg(F.array_sort(F.collect_list("word")).alias("words"))
     got = rows.select("words", encode_words(F.col("words"), ranks).alias("ids")).toArrow()
-    return [w.decode() for ws in got["words"].to_pylist() for w in ws], [x for xs in got["ids"].to_pylist() for x in xs]
+    words = [w for ws in got["words"].to_pylist() for w in ws]
+    hashes = word_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum(np.array([len(w) for w in words], np.int64)))
+    order = np.argsort(hashes)
+    ids = got["ids"].combine_chunks().flatten() if len(words) else pa.array([], pa.list_(pa.int32()))
+    return hashes[order], ids.take(pa.array(order))
 
 
-def _ragged(lists: list[list[int]] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and all values of a list of lists."""
-    flat = pa.array(lists, pa.list_(pa.int32())) if isinstance(lists, list) else lists
     return flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
@@ -181,7 +274,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, at, words in Cutter(pattern, known).chunks(batches, CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, sizes, at, [w.encode() for w in words]), _CHUNK.types, strict=True)], schema=_CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, sizes, at, words), _CHUNK.types, strict=True)], schema=_CHUNK)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
