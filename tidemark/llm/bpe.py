@@ -27,10 +27,10 @@ from tidemark.llm.common import byte_texts, mix, written
 CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer document is a chunk of its own
 BUCKETS = 4096  # maps of the literal: about a dozen ranks in each
 NO_RANK, PLACE = (1 << 31) - 1, (1 << 32) - 1
-HEAD = 1 << 18  # words folded once for all tasks: at most about 10 MB
+HEAD = 1 << 19  # words folded once for all tasks: at most about 20 MB
 HEAD_BYTES = 32  # longest word among them
-PIECE_BYTES = 1 << 20  # of text cut at once
-OUT_WORDS = 1 << 19  # words in a batch sent back
+PIECE_BYTES = 1 << 19  # of text cut at once
+OUT_WORDS = 1 << 17  # words in a batch sent back
 # fixed value: the pattern that ``word_starts`` knows; others go through the regular expression engine
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -201,17 +201,20 @@ class Cutter:
     def chunks(self, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, list[bytes]]]:
         """doc_ids, words of each document, numbers of all words, and the words that are not known."""
         pieces, held = [], 0
-        for batch in batches:
-            ids, texts = batch["doc_id"].to_pylist(), byte_texts(batch["text"])
-            first, many = 0, 0
-            for i, t in enumerate(texts):
-                many += len(t) + 64
-                if many >= PIECE_BYTES or i == len(texts) - 1:
-                    pieces.append(self.piece(ids[first:i + 1], texts[first:i + 1]))
-                    first, held, many = i + 1, held + many, 0
+        ids, texts, many = [], [], 0
+        for part in (batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64)):
+            for doc_id, text in zip(part["doc_id"].to_pylist(), byte_texts(part["text"]), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                many += len(text) + 64
+                if many >= PIECE_BYTES:
+                    pieces.append(self.piece(ids, texts))
+                    ids, texts, held, many = [], [], held + many, 0
                 if held >= size:
                     yield self.joined(pieces)
                     pieces, held = [], 0
+        if ids:
+            pieces.append(self.piece(ids, texts))
         if pieces:
             yield self.joined(pieces)
 
@@ -256,7 +259,7 @@ def _common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int]) -> tu
 
 def _ragged(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Lengths and all values of a list of lists."""
-    return flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+    return flat.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), flat.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -282,7 +285,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                 part = {c: batch[c].slice(row, 1).flatten() for c in ("doc_ids", "sizes", "at", "encoded")}
                 own_sizes, own_flat = _ragged(part["encoded"])
                 sizes, flat = np.concatenate([known_sizes, own_sizes]), np.concatenate([known_flat, own_flat])
-                starts = np.cumsum(sizes) - sizes
+                starts = (np.cumsum(sizes) - sizes).astype(np.int32)
                 at, ends = part["at"].to_numpy(), np.cumsum(part["sizes"].to_numpy())
                 doc, first = 0, 0
                 while doc < len(ends):
