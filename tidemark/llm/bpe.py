@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, mix, written
 
 CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer document is a chunk of its own
-BUCKETS = 4096  # maps of the literal: about a dozen ranks in each
+BUCKETS = 1 << 14  # maps of the literal: about three ranks in each
 NO_RANK, PLACE = (1 << 31) - 1, (1 << 32) - 1
 HEAD = 1 << 19  # words folded once for all tasks: at most about 20 MB
 HEAD_BYTES = 32  # longest word among them
@@ -34,8 +34,8 @@ OUT_WORDS = 1 << 17  # words in a batch sent back
 # fixed value: the pattern that ``word_starts`` knows; others go through the regular expression engine
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CHUNK = "doc_ids array<long>, sizes array<long>, at array<int>, words array<binary>"
-_CHUNK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))])
+CHUNK = "doc_ids array<long>, sizes array<long>, at binary, words array<binary>"
+_CHUNK = pa.schema([("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.binary()), ("words", pa.list_(pa.binary()))])
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
@@ -125,7 +125,9 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     """The bytes of an array of ids: their binary pieces, concatenated. An id without a piece is an error."""
     table = piece_literal(ranks).cast("array<string>")  # a constant; pieces are joined as they are, not read as UTF-8
-    piece = lambda i: F.coalesce(F.get(table, i), F.raise_error(F.lit("an id without a piece")).cast("string"))
+    piece = lambda i: F.element_at(table, i + 1)
+    if len(ranks) <= max(ranks.values()):  # ids between others without a piece
+        piece = lambda i: F.coalesce(F.element_at(table, i + 1), F.raise_error(F.lit("an id without a piece")).cast("string"))
     return F.array_join(F.transform(ids, piece), "").cast("binary")
 
 
@@ -219,25 +221,26 @@ class Cutter:
             yield self.joined(pieces)
 
     def piece(self, ids: list, texts: list[bytes]) -> tuple:
+        """Ids, words of each text, number of every word (below zero: new to the piece), and the new words with their hashes."""
         data, ends, sizes = cut(texts, self.pattern)
         hashes, place, at = np.unique(word_hashes(data, ends), return_index=True, return_inverse=True)
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+        number = np.searchsorted(self.known, hashes)
+        new = np.flatnonzero(self.known[np.minimum(number, len(self.known) - 1)] != hashes) if len(self.known) else np.arange(len(hashes))
+        number[new] = -1 - np.arange(len(new))
+        stops = ends[place[new]]
+        begins = np.concatenate([[0], ends])[place[new]]
         body = data.tobytes()
-        return ids, sizes, hashes, at.astype(np.int32), [body[a:b] for a, b in zip(begins[place].tolist(), ends[place].tolist(), strict=True)]
+        return ids, sizes, number[at].astype(np.int32), hashes[new], [body[a:b] for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
 
     def joined(self, pieces: list[tuple]) -> tuple[list, np.ndarray, np.ndarray, list[bytes]]:
-        every = np.concatenate([p[2] for p in pieces])
+        _, place, number = np.unique(np.concatenate([p[3] for p in pieces]), return_index=True, return_inverse=True)
+        number = (number + len(self.known)).astype(np.int32)
         words = [w for p in pieces for w in p[4]]
-        new, place = np.unique(every[~np.isin(every, self.known)], return_index=True)
-        place = np.flatnonzero(~np.isin(every, self.known))[place]
-        number = np.searchsorted(self.known, every).astype(np.int32)
-        unknown = ~np.isin(every, self.known)
-        number[unknown] = len(self.known) + np.searchsorted(new, every[unknown])
-        out, at = [], 0
-        for p in pieces:
-            out.append(number[at:at + len(p[2])][p[3]])
-            at += len(p[2])
-        return [i for p in pieces for i in p[0]], np.concatenate([p[1] for p in pieces]), np.concatenate(out), [words[i] for i in place.tolist()]
+        out, first = [], 0
+        for _, _, at, hashes, _ in pieces:
+            out.append(np.where(at >= 0, at, number[first - 1 - np.minimum(at, -1)]) if len(hashes) else at)
+            first += len(hashes)
+        return [i for p in pieces for i in p[0]], np.concatenate([p[1] for p in pieces]), np.concatenate(out).astype(np.int32), [words[i] for i in place.tolist()]
 
 
 def _common_words(texts: DataFrame, pattern: str, ranks: dict[bytes, int]) -> tuple[np.ndarray, pa.Array]:
@@ -277,16 +280,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, at, words in Cutter(pattern, known).chunks(batches, CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, sizes, at, words), _CHUNK.types, strict=True)], schema=_CHUNK)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((ids, sizes, at.tobytes(), words), _CHUNK.types, strict=True)], schema=_CHUNK)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part = {c: batch[c].slice(row, 1).flatten() for c in ("doc_ids", "sizes", "at", "encoded")}
+                part = {c: batch[c].slice(row, 1).flatten() for c in ("doc_ids", "sizes", "encoded")}
                 own_sizes, own_flat = _ragged(part["encoded"])
                 sizes, flat = np.concatenate([known_sizes, own_sizes]), np.concatenate([known_flat, own_flat])
                 starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-                at, ends = part["at"].to_numpy(), np.cumsum(part["sizes"].to_numpy())
+                at, ends = np.frombuffer(batch["at"][row].as_buffer(), np.int32), np.cumsum(part["sizes"].to_numpy())
                 doc, first = 0, 0
                 while doc < len(ends):
                     last = max(doc + 1, int(np.searchsorted(ends, first + OUT_WORDS, "right")))
