@@ -27,7 +27,7 @@ from tidemark.llm.common import byte_texts, mix, written
 CHUNK_BYTES = 16 << 20  # of text in a chunk; a longer document is a chunk of its own
 BUCKETS = 1 << 14  # maps of the literal: about three ranks in each
 NO_RANK, PLACE = (1 << 31) - 1, (1 << 32) - 1
-HEAD = 1 << 19  # words folded once for all tasks: at most about 20 MB
+HEAD = 3 << 18  # words folded once for all tasks: at most about 30 MB
 HEAD_BYTES = 32  # longest word among them
 PIECE_BYTES = 1 << 19  # of text cut at once
 OUT_WORDS = 1 << 17  # words in a batch sent back
