@@ -13,7 +13,7 @@ from tidemark.plans.topics import KEYWORDS  # noqa: F401  (defines query_words)
 from tidemark.session import shared_folder
 from tidemark.sources import testbed as tb
 from tidemark.sources.testbed import AS_OF, Testbed
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, visited
 
 
 class StreamBed(Testbed):
@@ -102,6 +102,22 @@ def _(t):
     return t.spark.read.parquet(out).select("url")
 
 
+# spans follow each other: the first visit at or after the end of the last span opens the next one
+@query("visited_ttl_stream", """
+WITH RECURSIVE visits AS (SELECT 'http://ads.example/' || ad_id AS url, ts FROM keyed_events WHERE ad_id IS NOT NULL AND ts IS NOT NULL),
+opened AS (
+  SELECT url, min(ts) AS ts FROM visits GROUP BY url
+  UNION ALL
+  SELECT o.url, min(v.ts) FROM opened o JOIN visits v ON v.url = o.url AND v.ts >= o.ts + INTERVAL 24 HOUR GROUP BY o.url)
+SELECT url, ts FROM opened""")
+def _(t):
+    k = F.get_json_object("props", "$.k")
+    e = streaming(t).table("events").select(F.concat(F.lit("http://ads.example/"), k).alias("url"), "ts")
+    with visited.state_store(t.spark):
+        out = appended(t, visited.visited_dedup(jobs.as_event_time(e, late="24 hours")), "visited-ttl")
+    return t.spark.read.parquet(out).select("url", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @query("event_stream_sink", """
 SELECT count(*) AS envelopes, count(DISTINCT event_id) AS events FROM events""")
 def _(t):
