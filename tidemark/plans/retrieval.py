@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab
 from tidemark.functions.text import r6
 from tidemark.functions.urls import normalise_url
-from tidemark.operators import merging, retrieval
+from tidemark.operators import cells, merging, retrieval
 from tidemark.operators import pages as pg
 from tidemark.plans.adapters import lit, sql_list
 from tidemark.plans.intent import ethics, listed
@@ -283,6 +283,32 @@ def _(t):
     return retrieval.vector_topk(v.withColumnRenamed("vec_id", "query_id"), v, 5).select("query_id", "vec_id", "score", "rank")
 
 
+# the exact form over cells: the same rows as the block join, fewer products
+@query("vector_topk_cells", """
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings a, embeddings b)) WHERE rank <= 5""")
+def _(t):
+    v = t.table("embeddings").select("vec_id", "embedding")
+    return cells.cell_topk(v.withColumnRenamed("vec_id", "query_id"), cells.build_cells(v, 16), 5).select("query_id", "vec_id", "score", "rank")
+
+
+# every third vector asks for its own label, every fifth for its own parity, the others for anything
+@query("vector_topk_filtered", """
+WITH v AS (SELECT vec_id, embedding, label, CAST(vec_id % 2 AS INT) AS half FROM embeddings),
+q AS (SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 3 = 0 THEN label END AS label, CASE WHEN vec_id % 5 = 0 THEN half END AS half FROM v)
+SELECT query_id, vec_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM (
+    SELECT q.query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM q JOIN v ON (q.label IS NULL OR q.label = v.label) AND (q.half IS NULL OR q.half = v.half))) WHERE rank <= 5""")
+def _(t):
+    v = t.table("embeddings").select("vec_id", "embedding", "label", (F.col("vec_id") % 2).cast("int").alias("half"))
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 3 == 0, F.col("label")).alias("label"),
+                 F.when(F.col("vec_id") % 5 == 0, F.col("half")).alias("half"))
+    return cells.filtered_topk(q, v, 5, ["label", "half"]).select("query_id", "vec_id", "score", "rank")
+
+
 @query("tag_search", """
 SELECT page_id, primary_goal, skill_level FROM tagged_pages WHERE primary_goal = 'learn' AND contains('; ' || use_cases || ';', '; learning;') ORDER BY page_id LIMIT 30""")
 def _(t):
