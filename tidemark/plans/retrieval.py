@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab
 from tidemark.functions.text import r6
 from tidemark.functions.urls import normalise_url
-from tidemark.operators import cells, merging, retrieval
+from tidemark.operators import cells, merging, retrieval, searchindex
 from tidemark.operators import pages as pg
 from tidemark.plans.adapters import lit, sql_list
 from tidemark.plans.intent import ethics, listed
 from tidemark.plans.pages import TOPIC_WORDS, part
 from tidemark.plans.registry import cte, query
 from tidemark.plans.scoring import intents
+from tidemark.session import cut_lineage, shared_folder
 
 TERMS = f"list_filter(list_transform(regexp_extract_all({{x}}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: NOT list_contains({sql_list(vocab.INDEX_STOP_WORDS)}, w))"
 cte("field_terms", f"""
@@ -69,13 +70,44 @@ def _(t):
     return retrieval.index_stats(retrieval.postings(p), pg.analyse_pages(p)).withColumn("avg_length", r6(F.col("avg_length")))
 
 
-@query("keyword_search", f"""
-WITH terms AS (SELECT query, unnest(list_distinct({TERMS.replace('{x}', 'query')})) AS term FROM searches),
-scores AS (SELECT query, page_id, round(sum(impact), 6) AS score FROM terms JOIN impacts USING (term) GROUP BY ALL)
+WORDS = ("list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)), "
+         f"lambda w: NOT list_contains({sql_list(vocab.INDEX_STOP_WORDS)}, w))")
+cte("index_texts", "SELECT page_id, unnest(['title', 'content', 'meta_description', 'url', 'phrases']) AS field, unnest([title, content, meta_description, url, replace(key_phrases, ';', ' ')]) AS text FROM tagged_pages")
+cte("index_postings", f"""
+SELECT term, page_id, field, length, count(*) AS tf FROM (
+  SELECT page_id, field, CAST(len(terms) AS INT) AS length, unnest(terms) AS term FROM (SELECT page_id, field, {WORDS.replace('{x}', 'text')} AS terms FROM index_texts))
+GROUP BY ALL""")
+SCORED = f"""
+d AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT field, count(*) AS docs, avg(length) AS avg_length FROM (SELECT DISTINCT page_id, field, length FROM p) GROUP BY field),
+i AS (SELECT p.term, p.page_id, ln(1 + (s.docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * {vocab.BM25_K1 + 1}::DOUBLE
+    / (p.tf + {vocab.BM25_K1}::DOUBLE * (1 - {vocab.BM25_B} + {vocab.BM25_B}::DOUBLE * p.length / s.avg_length))
+    * CASE WHEN p.field = 'title' THEN 2.0 ELSE 1.0 END::DOUBLE AS impact
+  FROM p JOIN d USING (field, term) JOIN s USING (field)),
+terms AS (SELECT query, unnest(list_distinct({WORDS.replace('{x}', 'query')})) AS term FROM searches),
+scores AS (SELECT query, page_id, round(sum(impact), 6) AS score FROM terms JOIN i USING (term) GROUP BY ALL)
 SELECT query, page_id, score, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page_id) AS INT) AS rank FROM scores) WHERE rank <= 10""")
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, page_id) AS INT) AS rank FROM scores) WHERE rank <= 10"""
+
+
+@query("keyword_search", "WITH p AS (SELECT * FROM index_postings)," + SCORED)
+def _(t):
+    blocks = cut_lineage(searchindex.seal(searchindex.impacts(searchindex.postings(searchindex.with_phrases(parsed(t))))))
+    return searchindex.search(searches(t), blocks, 10).select("query", "page_id", "score", "rank")
+
+
+# three segments: all pages, then every third again, then removals of every fifth; merged, and searched
+@query("segmented_search", "WITH p AS (SELECT * FROM index_postings WHERE page_id % 5 <> 0)," + SCORED)
 def _(t):
-    return retrieval.keyword_search(searches(t), retrieval.postings(parsed(t)), 10).select("query", "page_id", "score", "rank")
+    path = shared_folder(t.spark, "segments")
+    p = cut_lineage(parsed(t))
+    stale = p.withColumn("title", F.when(F.col("page_id") % 3 == 0, F.lit("an old title")).otherwise(F.col("title")))
+    searchindex.write_segment(stale, path, 0)
+    searchindex.write_segment(p.where("page_id % 3 = 0"), path, 1)
+    searchindex.write_tombstones(p.where("page_id % 5 = 0"), path, 2)
+    kept = searchindex.merge_segments(t.spark, path, [0, 1], [2], 3)
+    blocks = cut_lineage(searchindex.seal(searchindex.impacts(searchindex.live_postings(t.spark, path, kept))))
+    return searchindex.search(searches(t), blocks, 10).select("query", "page_id", "score", "rank")
 
 
 @query("intent_search", f"""
