@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root for every node with an edge (columns a, b, longs); root is the smallest node reachable.
 
     Alternates large and small stars: each round ties every node's larger, then smaller, neighbours to its smallest one.
-    Hubs are aggregated before the shuffle and joined back, so no task gathers a neighbourhood. Every round is cut off its
+    A hub's smallest neighbour is found by partial aggregates; its edges then meet in one join key, which the adaptive skew
+    join cuts. Every round is cut off its
     lineage in the shared checkpoint folder; the driver reads two numbers per round. Rounds end when one changes nothing;
     if ``rounds`` are not enough for that, it raises.
     """

@@ -26,6 +26,8 @@ SEED = 42
 SAMPLE = 8_000  # texts, or a 32nd of all if that is more, that show which tokens are common
 COMMON = 100_000  # tokens whose count is known; the others pass for rare
 BLOCK = 512  # sets on each side of a block of pairs
+BROADCAST_ROWS = 1 << 20  # wanted rows (three longs) that are sent to all texts, about 25 MB
+CELL_TOKENS = 1 << 21  # tokens of the sets that are compared in one task, 16 MB
 COLUMNS = 4096  # tokens of a block taken at once
 
 
@@ -201,6 +203,60 @@ def alike_in_block(sids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray],
     return [(int(sids[i]), int(sids[j])) for i, j in enumerate(label.tolist()) if i != j]
 
 
+def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id, x: the ascending tokens of the wanted sets, each from one row (d, h) that holds it. The list of rows goes to the
+    texts if it is short, by its count; else the texts are shuffled to it."""
+    schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.int64()))])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # repeated rows
+        for batch in batches:
+            got = {}
+            for i, t in zip(batch["id"].to_pylist(), byte_texts(batch["text"]), strict=True):
+                if i not in done:
+                    done.add(i)
+                    got[i] = tokens(t, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.list_(pa.int64()))], schema=schema)
+
+    wanted = written(wanted, "near-wanted")
+    short = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    rows = texts.join(short, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["text_hash"] == wanted["h"]))
+    return rows.select("id", "text").mapInArrow(build, "id long, x array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs a < b, those whose sets (id, x) are num / den alike or more.
+
+    Pairs of one component of the pair graph are settled in one task, so a set travels once and not once a pair. Small
+    components share tasks; one of more than CELL_TOKENS tokens is cut by the hashes of both ends, and a set goes to the cells
+    that hold a pair of it.
+    """
+    roots = components(pairs)
+    known = roots.join(sets.select(F.col("id").alias("node"), F.size("x").cast("long").alias("size")), "node")
+    weight = written(known.groupBy("root").agg(F.sum("size").alias("size")).withColumn("parts", F.ceil(F.col("size") / CELL_TOKENS).cast("int")), "near-weights")
+    shared = max(1, -(-(weight.filter("parts <= 1").agg(F.sum("size")).first()[0] or 0) // CELL_TOKENS))
+    end = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    home = F.when(F.col("parts") > 1, F.struct(F.col("root").alias("r"), end("a").alias("i"), end("b").alias("j"))).otherwise(
+        F.struct(F.pmod(F.xxhash64("root"), F.lit(shared)).alias("r"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    dealt = written(pairs.join(roots.withColumnRenamed("node", "a"), "a").join(weight, "root").withColumn("cell", home).select("cell.*", "a", "b"), "near-dealt")
+    needed = dealt.select("r", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
+    needed = needed.select(*[F.col(c).alias(c) for c in ("r", "i", "j", "id", "x")])
+
+    def settle(bodies: pa.Table, pairs: pa.Table) -> pa.Table:
+        flat = bodies["x"].combine_chunks()
+        parts = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1]) if len(flat) else []
+        held = {i: x.view(np.uint64) for i, x in zip(bodies["id"].to_pylist(), parts, strict=True)}
+        found = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            x, y = held[a], held[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * den >= (len(x) + len(y) - both) * num:
+                found.append((a, b))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+    return needed.groupBy("r", "i", "j").cogroup(dealt.groupBy("r", "i", "j")).applyInArrow(settle, "a long, b long")
+
+
 def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash, component_id: texts whose sets of n-word shingles have a Jaccard similarity of ``similarity`` or more.
 
@@ -262,28 +318,8 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
     tried = written(stars.union(pairs).distinct(), "near-tried")
     wanted = tried.select("a").union(tried.select("b")).union(big.select("id")).toDF("id").distinct()
     wanted = wanted.join(distinct, "id").select("id", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    set_schema = pa.schema([("id", pa.int64()), ("x", pa.list_(pa.int64()))])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # repeated rows
-        for batch in batches:
-            got = {}
-            for i, t in zip(batch["id"].to_pylist(), byte_texts(batch["text"]), strict=True):
-                if i not in done:
-                    done.add(i)
-                    got[i] = tokens(t, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.list_(pa.int64()))], schema=set_schema)
-
-    rows = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["d"]) & (texts["text_hash"] == wanted["h"]))
-    sets = written(rows.select("id", "text").mapInArrow(build, "id long, x array<long>"), "near-sets")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Of the pairs a < b, those whose sets are alike enough."""
-        both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y")).cast("long")
-        return both.filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
-
-    edges = written(alike(tried), "near-edges")
+    sets = written(_sets(texts, wanted, n), "near-sets")
+    edges = written(_alike(tried, sets, num, den), "near-edges")
     roots = components(edges).withColumnRenamed("node", "id").withColumnRenamed("root", "comp")
     open_ = big.select("token", "id", "n").join(roots, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
