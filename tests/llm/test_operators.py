@@ -69,10 +69,27 @@ def test_run_index(docs, none, hot, monkeypatch):
                 gone[a:a + 400] = True
         spans = int(np.sum(gone[:-1] & ~np.concatenate([[False], gone[:-2]]))) if len(t) else 0
         want.append((i, len(t), int(gone.sum()), spans, bytes(x for x, g in zip(t, gone) if not g)))
-    got = [(*r[:4], bytes(r[4])) for r in runindex.remove_repeats(docs).collect()]
+    result = runindex.remove_repeats(docs).collect()
+    got = [(*r[:4], bytes(r.kept)) for r in result]
+    assert all((r.longest_match >= 400) == (r.n_removed > 0) for r in result)
     assert order(got) == order(want) and runindex.remove_repeats(none).count() == 0
 
 
+def test_run_index_reports_shorter_repeats(spark):
+    """Passages under the length stay, but most are told; nothing is told of texts that share nothing."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: bytes(rng.choice(list(b"abcdefghijklmnop "), n).tolist()).decode()
+    rows = []
+    for i in range(60):
+        passage = prose(380)
+        rows += [(3 * i, prose(900) + passage + prose(700)), (3 * i + 1, prose(600) + passage + prose(900)), (3 * i + 2, prose(2000))]
+    got = {r.doc_id: r for r in runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_removed == 0 and r.longest_match in (0, *range(250, 400)) for r in got.values())
+    assert not any(got[i].longest_match for i in range(2, 180, 3))
+    told = [got[i].longest_match for i in range(180) if i % 3 < 2]
+    assert sum(x > 0 for x in told) > 0.7 * len(told) and max(told) >= 380
+
+
 def test_run_index_matches():
     strings = [b"abracadabra", b"cadabraxx", b"aaaa"]
     joined = b"\0".join(strings) + b"\0"

@@ -38,7 +38,7 @@ def op5_quality(spark: SparkSession, directory: str) -> DataFrame:
 
 def op6_run_index(spark: SparkSession, directory: str) -> DataFrame:
     kept = runindex.remove_repeats(table(spark, directory, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "longest_match")
 
 
 def op7_chat_format(spark: SparkSession, directory: str) -> DataFrame:

@@ -22,6 +22,7 @@ from tidemark.llm.substring import blocks, expand, in_order, pack, runs_of, sque
 
 LENGTH = 400
 GRAM = 64
+TOLD_FROM = 250  # bytes from which a shorter match is reported
 HOT = 2000  # segments of one anchor that an index takes
 BLOCK_BYTES = 4 << 20  # of text in a block: its arrays take about sixty times that
 BUCKET_BYTES = 2 << 20
@@ -188,11 +189,13 @@ class RunIndex:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept`` (binary: the remaining bytes) of every row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, longest_match and ``kept`` (binary: the remaining bytes) of every row of ``docs``.
 
     ``docs`` needs doc_id, text; other columns are ignored. A byte of a text (UTF-8; null is empty) goes if a string of
     ``length`` bytes over it also starts anywhere else, in the same text or another; strings never cross texts. Repeated
-    rows are repeats of each other. Rows without doc_id are treated like any other. An empty table gives an empty result.
+    rows are repeats of each other. ``longest_match`` is the longest match the index measured for a string of the text, cut at
+    the ends of its segment: ``length`` or more exactly if something is removed; from TOLD_FROM below that, a repeat too short
+    to remove that shares an anchor with another (shorter passages may be missed there, none is removed); else 0. Rows without doc_id are treated like any other. An empty table gives an empty result.
     """
     dealt, total = blocks(docs, BLOCK_BYTES)
     spark = docs.sparkSession
@@ -239,13 +242,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if part["shard"][0].as_py() < 0:
             return _count(part)
         bodies = part["body"].to_pylist()
-        long_ = RunIndex(bodies).matches_elsewhere() >= length
+        best = RunIndex(bodies).matches_elsewhere()
         rows, at = [], 0
         for a, c, body in zip(part["anchor"].to_pylist(), part["segment"].to_pylist(), bodies, strict=True):
-            marks = long_[at:at + len(body) - length + 1]
+            longest = int(best[at:at + len(body)].max(initial=0))
+            marks = best[at:at + len(body) - length + 1] >= length
             at += len(body) + 1
-            if marks.any():
-                rows.append((-1, MARKED, a, c, pack(marks)))
+            if longest >= TOLD_FROM:
+                rows.append((-1, MARKED, a, c, longest.to_bytes(4, "little") + (pack(marks) if marks.any() else b"")))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _TOLD.types, strict=True)], schema=_TOLD)
 
     sent = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(send, BODY)
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.coalesce("holder", "block").alias("block"), "kind", "anchor", "segment", "body")
     whole = told.filter((F.col("kind") != INDEXED) | F.col("body").isNotNull()).select("block", "kind", "anchor", "segment", "body")
     back = whole.unionAll(marks)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("longest_match", pa.int64()), ("kept", pa.binary())])
 
     def finish(part: pa.Table, told: pa.Table) -> pa.Table:
         if not len(part):
@@ -274,6 +278,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if k == COUNTED:
                     hot.add((a, c))
         depth = np.zeros(len(s.data) + 1, np.int64)
+        stops = np.cumsum([len(t) for t in s.texts])
+        doc, longest = np.searchsorted(stops, s.begin, "right"), np.zeros(len(s.texts), np.int64)
         counted = []
         for i, name in enumerate(s.names()):
             a, n = int(s.begin[i]), int(s.windows[i])
@@ -282,8 +288,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if name in all_:
                 depth[a] += 1
                 depth[a + n + length - 1] -= 1
+                longest[doc[i]] = max(longest[doc[i]], n + length - 1)
             elif name in marked:
-                starts = a + np.flatnonzero(unpack(marked[name], n))
+                body = marked[name]
+                longest[doc[i]] = max(longest[doc[i]], int.from_bytes(body[:4], "little"))
+                starts = a + np.flatnonzero(unpack(body[4:], n)) if len(body) > 4 else np.array([], np.int64)
                 np.add.at(depth, starts, 1)
                 np.add.at(depth, starts + length, -1)
         h1, h2, at = s.counted(np.array(counted, np.int64))
@@ -294,16 +303,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         starts = at[twice[group]] if len(at) else at
         np.add.at(depth, starts, 1)
         np.add.at(depth, starts + length, -1)
+        np.maximum.at(longest, np.searchsorted(stops, starts, "right"), length)
         gone, rows, at = np.cumsum(depth)[:-1] > 0, [], 0
-        for i, t in zip(s.ids, s.texts, strict=True):
+        for i, t, most in zip(s.ids, s.texts, longest.tolist(), strict=True):
             g = gone[at:at + len(t)]
             spans = int(np.count_nonzero(np.diff(np.concatenate([[0], g.astype(np.int8)])) == 1))
-            rows.append((i, len(t), int(g.sum()), spans, s.data[at:at + len(t)][~g].tobytes()))
+            rows.append((i, len(t), int(g.sum()), spans, most, s.data[at:at + len(t)][~g].tobytes()))
             at += len(t)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        finish, "doc_id long, n_bytes long, n_removed long, n_spans long, longest_match long, kept binary")
 
 
 def _grouped(h1: np.ndarray, h2: np.ndarray, shards: int):
