@@ -77,40 +77,46 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, risk: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the least ratio of unlabelled to positive rows above a score, where its
-    confidence bound is tightest."""
-    at = np.quantile(positive, np.linspace(0, 0.95, 96))
-    p, u = (positive[None, :] >= at[:, None]).mean(1), (unlabelled[None, :] >= at[:, None]).mean(1)
-    slack = np.sqrt(np.log(4 / risk) / (2 * len(positive))) + np.sqrt(np.log(4 / risk) / (2 * len(unlabelled)))
-    best = int(np.argmin((u + slack) / p))
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400, rate: float = 0.03, ridge: float = 1e-4) -> Model:
-    """Model from statistics of trusted positives and of unlabelled texts."""
-    both = np.concatenate([positive, unlabelled])
-    edges = np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    columns = np.arange(both.shape[1]) * BINS
-    cells = lambda x: np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], 1) + columns
-    cp, cu = cells(positive), cells(unlabelled)
-    size = both.shape[1] * BINS
-
-    ridge += 0.2 / len(both)
-
-    def descend(gradient, cp: np.ndarray, cu: np.ndarray) -> tuple[np.ndarray, float]:
-        w, b, m, v = np.zeros(size), 0.0, np.zeros(size + 1), np.zeros(size + 1)
-        for t in range(1, rounds + 1):
-            gp, gu = gradient(w[cp].sum(1) + b, w[cu].sum(1) + b)
-            g = np.append(np.bincount(cp.ravel(), np.repeat(gp, cp.shape[1]), size) + np.bincount(cu.ravel(), np.repeat(gu, cu.shape[1]), size) + ridge * w, gp.sum() + gu.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-        return w, b
-
-    # the first classifier learns from one half of the rows and ranks the other half
-    first, _ = descend(lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2), cp[::2], cu[::2])
-    prior = class_prior(first[cp[1::2]].sum(1), first[cu[1::2]].sum(1)) if len(cp) > 1 and len(cu) > 1 else 0.5
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives among the unlabelled, from two histograms over the same rising scores: the least ratio of unlabelled
+    to positive rows above a score, judged with one standard error added, so that few rows do not decide; the ratio itself
+    is returned."""
+    p, u = np.cumsum(positive[::-1])[::-1], np.cumsum(unlabelled[::-1])[::-1]
+    n_p, n_u = max(1, p[0]), max(1, u[0])
+    p, u = np.maximum(p / n_p, 1 / n_p), u / n_u
+    ratio = u / p
+    error = np.sqrt(u * (1 - u) / n_u) / p + ratio * np.sqrt(p * (1 - p) / n_p) / p
+    best = int(np.argmin(np.where(p >= 0.05, ratio + error, np.inf)))
+    return float(np.clip(ratio[best], 0.01, 0.99))
+
+
+def _descend(gradient, cp: np.ndarray, cu: np.ndarray, size: int, rounds: int, rate: float, ridge: float) -> tuple[np.ndarray, float]:
+    w, b, m, v = np.zeros(size), 0.0, np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, rounds + 1):
+        gp, gu = gradient(w[cp].sum(1) + b, w[cu].sum(1) + b)
+        g = np.append(np.bincount(cp.ravel(), np.repeat(gp, cp.shape[1]), size) + np.bincount(cu.ravel(), np.repeat(gu, cu.shape[1]), size) + ridge * w, gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return w, b
+
+
+def _cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)], 1) + np.arange(len(edges)) * BINS
+
+
+def rank(positive: np.ndarray, unlabelled: np.ndarray, edges: np.ndarray, rounds: int = 800, rate: float = 0.03, ridge: float = 1e-4) -> Model:
+    """A classifier of positives against unlabelled rows; it orders rows and knows no class prior."""
+    cp, cu = _cells(positive, edges), _cells(unlabelled, edges)
+    ridge += 0.2 / (len(positive) + len(unlabelled))
+    w, b = _descend(lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2), cp, cu, edges.shape[0] * BINS, rounds, rate, ridge)
+    return Model(edges, w.reshape(-1, BINS), float(b), 0.5)
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, edges: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.03, ridge: float = 1e-4) -> Model:
+    """Model from statistics of trusted positives and of unlabelled texts, by the non-negative risk under a class prior."""
+    cp, cu = _cells(positive, edges), _cells(unlabelled, edges)
+    ridge += 0.2 / (len(positive) + len(unlabelled))
 
     def risk(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plus = prior * (_sigmoid(zp) - 1) / len(zp)  # gradient of prior * R+(P)
@@ -119,7 +125,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 400, rate: f
         # below zero the unlabelled part is overfitted: climb back
         return (plus - minus_p, minus_u) if rest >= 0 else (minus_p, -minus_u)
 
-    w, b = descend(risk, cp, cu)
+    w, b = _descend(risk, cp, cu, edges.shape[0] * BINS, rounds, rate, ridge)
     return Model(edges, w.reshape(-1, BINS), float(b), prior)
 
 
@@ -137,9 +143,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     good = (labels.select(F.col("doc_id").cast("long").alias("id"), "quality").filter("id is not null and quality is not null")
             .groupBy("id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("id"))
     train = x.filter(fold != 2).join(good, F.col("doc_id") == F.col("id"), "left").withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
+    train = written(train.select("id", "h", "x"), "quality-train")
     take = lambda df: np.array([r["x"] for r in df.orderBy("h", "x").limit(sample).select("x").collect()], np.float64)
     positive, unlabelled = take(train.filter("id is not null")), take(train)
-    model = fit(positive, unlabelled) if len(positive) and len(unlabelled) else None
+    model = _trained(x, train, positive, unlabelled, take) if len(positive) and len(unlabelled) else None
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,3 +158,32 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
     scored = x.mapInArrow(run, "doc_id long, text_hash long, score double")
     return scored.select("doc_id", "text_hash", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _trained(x: DataFrame, train: DataFrame, positive: np.ndarray, unlabelled: np.ndarray, take) -> Model:
+    quantiles = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    asked = [F.percentile_approx(F.col("x")[j].cast("double"), quantiles, 10_000).alias(f"e{j}") for j in range(len(STATISTICS))]
+    edges = np.array(list(x.agg(*asked).first()), np.float64)
+    half = lambda n: train.filter(F.pmod(F.col("h"), F.lit(2)) == n)
+    first_p, first_u = take(half(0).filter("id is not null")), take(half(0))
+    if not len(first_p) or not len(first_u):
+        return fit(positive, unlabelled, edges, 0.5)
+    first = rank(first_p, first_u, edges)
+    scores = np.sort(first.logits(first_p))
+    cuts = np.unique(np.quantile(scores, np.linspace(0, 1, 257)[1:-1]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(cuts) + 1), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                values = batch["x"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                at = np.searchsorted(cuts, first.logits(values), side="right")
+                total[1] += np.bincount(at, minlength=len(cuts) + 1)
+                total[0] += np.bincount(at[batch["id"].is_valid().to_numpy(zero_copy_only=False)], minlength=len(cuts) + 1)
+        bins = np.tile(np.arange(len(cuts) + 1, dtype=np.int32), 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), len(cuts) + 1)), pa.array(bins), pa.array(total.ravel())], names=["kind", "bin", "n"])
+
+    counts = np.zeros((2, len(cuts) + 1))
+    for r in half(1).select("id", "x").mapInArrow(count, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():  # 514 numbers
+        counts[r["kind"], r["bin"]] = r["n"]
+    return fit(positive, unlabelled, edges, class_prior(*counts) if counts[0].sum() and counts[1].sum() else 0.5)
