@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, written
 
 SAMPLE = 12_000  # rows of each of the two training samples
+CAUTION = 3  # standard errors; fits made mixtures of 300 to 30,000 rows
 BINS = 12
 STATISTICS = ["words", "word_length", "long_words", "distinct", "distinct_pairs", "top_word", "upper", "all_caps", "capitalised", "digits",
               "punctuation", "exclaim", "symbols", "wide", "spaces", "lines", "line_length", "repeated_lines", "stops", "commas", "urls", "repeats"]
@@ -79,14 +80,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from two histograms over the same rising scores: the least ratio of unlabelled
-    to positive rows above a score, judged with one standard error added, so that few rows do not decide; the ratio itself
+    to positive rows above a score, judged with CAUTION standard errors added, so that few rows do not decide; the ratio itself
     is returned."""
     p, u = np.cumsum(positive[::-1])[::-1], np.cumsum(unlabelled[::-1])[::-1]
     n_p, n_u = max(1, p[0]), max(1, u[0])
     p, u = np.maximum(p / n_p, 1 / n_p), u / n_u
     ratio = u / p
     error = np.sqrt(u * (1 - u) / n_u) / p + ratio * np.sqrt(p * (1 - p) / n_p) / p
-    best = int(np.argmin(np.where(p >= 0.05, ratio + error, np.inf)))
+    best = int(np.argmin(np.where(p >= 0.1, ratio + CAUTION * error, np.inf)))
     return float(np.clip(ratio[best], 0.01, 0.99))
 
 
