@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, written
 
 SAMPLE = 12_000  # rows of each of the two training samples
-CAUTION = 3  # standard errors; fits made mixtures of 300 to 30,000 rows
+CAUTION = 2  # standard errors
 BINS = 12
 STATISTICS = ["words", "word_length", "long_words", "distinct", "distinct_pairs", "top_word", "upper", "all_caps", "capitalised", "digits",
               "punctuation", "exclaim", "symbols", "wide", "spaces", "lines", "line_length", "repeated_lines", "stops", "commas", "urls", "repeats"]
