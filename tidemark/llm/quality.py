@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import byte_texts, written
 
 SAMPLE = 12_000  # rows of each of the two training samples
-CAUTION = 2  # standard errors
+CAUTION = 1  # standard errors
 BINS = 12
 STATISTICS = ["words", "word_length", "long_words", "distinct", "distinct_pairs", "top_word", "upper", "all_caps", "capitalised", "digits",
               "punctuation", "exclaim", "symbols", "wide", "spaces", "lines", "line_length", "repeated_lines", "stops", "commas", "urls", "repeats"]
@@ -87,7 +87,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     p, u = np.maximum(p / n_p, 1 / n_p), u / n_u
     ratio = u / p
     error = np.sqrt(u * (1 - u) / n_u) / p + ratio * np.sqrt(p * (1 - p) / n_p) / p
-    best = int(np.argmin(np.where(p >= 0.1, ratio + CAUTION * error, np.inf)))
+    best = int(np.argmin(np.where(p >= 0.3, ratio + CAUTION * error, np.inf)))
     return float(np.clip(ratio[best], 0.01, 0.99))
 
 
@@ -109,7 +109,7 @@ def _cells(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def rank(positive: np.ndarray, unlabelled: np.ndarray, edges: np.ndarray, rounds: int = 800, rate: float = 0.03, ridge: float = 1e-4) -> Model:
     """A classifier of positives against unlabelled rows; it orders rows and knows no class prior."""
     cp, cu = _cells(positive, edges), _cells(unlabelled, edges)
-    ridge += 0.2 / (len(positive) + len(unlabelled))
+    ridge += 0.01 / (len(positive) + len(unlabelled))
     w, b = _descend(lambda zp, zu: ((_sigmoid(zp) - 1) / len(zp) / 2, _sigmoid(zu) / len(zu) / 2), cp, cu, edges.shape[0] * BINS, rounds, rate, ridge)
     return Model(edges, w.reshape(-1, BINS), float(b), 0.5)
 
@@ -117,7 +117,7 @@ def rank(positive: np.ndarray, unlabelled: np.ndarray, edges: np.ndarray, rounds
 def fit(positive: np.ndarray, unlabelled: np.ndarray, edges: np.ndarray, prior: float, rounds: int = 800, rate: float = 0.03, ridge: float = 1e-4) -> Model:
     """Model from statistics of trusted positives and of unlabelled texts, by the non-negative risk under a class prior."""
     cp, cu = _cells(positive, edges), _cells(unlabelled, edges)
-    ridge += 0.2 / (len(positive) + len(unlabelled))
+    ridge += 0.01 / (len(positive) + len(unlabelled))
 
     def risk(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         plus = prior * (_sigmoid(zp) - 1) / len(zp)  # gradient of prior * R+(P)
@@ -166,12 +166,17 @@ def _trained(x: DataFrame, train: DataFrame, positive: np.ndarray, unlabelled: n
     asked = [F.percentile_approx(F.col("x")[j].cast("double"), quantiles, 10_000).alias(f"e{j}") for j in range(len(STATISTICS))]
     edges = np.array(list(x.agg(*asked).first()), np.float64)
     half = lambda n: train.filter(F.pmod(F.col("h"), F.lit(2)) == n)
-    first_p, first_u = take(half(0).filter("id is not null")), take(half(0))
-    if not len(first_p) or not len(first_u):
-        return fit(positive, unlabelled, edges, 0.5)
-    first = rank(first_p, first_u, edges)
-    scores = np.sort(first.logits(first_p))
-    cuts = np.unique(np.quantile(scores, np.linspace(0, 1, 257)[1:-1]))
+    counts = np.zeros((2, 257))
+    for fold in (0, 1):  # each half is ranked by what the other half taught
+        first_p, first_u = take(half(fold).filter("id is not null")), take(half(fold))
+        if len(first_p) and len(first_u):
+            counts += _histograms(half(1 - fold), rank(first_p, first_u, edges), first_p)
+    return fit(positive, unlabelled, edges, class_prior(*counts) if counts[0].sum() and counts[1].sum() else 0.5)
+
+
+def _histograms(rows: DataFrame, first: Model, sample: np.ndarray) -> np.ndarray:
+    """Positives and all rows by their score, in 257 bins between the scores of a sample of positives."""
+    cuts = np.quantile(first.logits(sample), np.linspace(0, 1, 258)[1:-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(cuts) + 1), np.int64)
@@ -185,6 +190,6 @@ def _trained(x: DataFrame, train: DataFrame, positive: np.ndarray, unlabelled: n
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([0, 1], np.int32), len(cuts) + 1)), pa.array(bins), pa.array(total.ravel())], names=["kind", "bin", "n"])
 
     counts = np.zeros((2, len(cuts) + 1))
-    for r in half(1).select("id", "x").mapInArrow(count, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():  # 514 numbers
+    for r in rows.select("id", "x").mapInArrow(count, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect():  # 514 numbers
         counts[r["kind"], r["bin"]] = r["n"]
-    return fit(positive, unlabelled, edges, class_prior(*counts) if counts[0].sum() and counts[1].sum() else 0.5)
+    return counts

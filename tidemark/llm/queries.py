@@ -19,7 +19,7 @@ def op1_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
 
 def op2_personal_data(spark: SparkSession, directory: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, directory, "documents").select("doc_id", "text"))
-    n = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    n = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(pii.BASE)]
     return found.select("doc_id", *n, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 
 
