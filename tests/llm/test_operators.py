@@ -85,7 +85,7 @@ def test_run_index_reports_shorter_repeats(spark):
         passage = prose(380)
         rows += [(3 * i, prose(900) + passage + prose(700)), (3 * i + 1, prose(600) + passage + prose(900)), (3 * i + 2, prose(2000))]
     got = {r.doc_id: r for r in runindex.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(r.n_removed == 0 and r.longest_match in (0, *range(250, 400)) for r in got.values())
+    assert all(r.n_removed == 0 and r.longest_match in (0, *range(300, 400)) for r in got.values())
     assert not any(got[i].longest_match for i in range(2, 180, 3))
     told = [got[i].longest_match for i in range(180) if i % 3 < 2]
     assert sum(x > 0 for x in told) > 0.7 * len(told) and max(told) >= 380

@@ -22,7 +22,7 @@ from tidemark.llm.substring import blocks, expand, in_order, pack, runs_of, sque
 
 LENGTH = 400
 GRAM = 64
-TOLD_FROM = 250  # bytes from which a shorter match is reported
+TOLD_FROM = 300  # bytes from which a shorter match is reported
 HOT = 2000  # segments of one anchor that an index takes
 BLOCK_BYTES = 4 << 20  # of text in a block: its arrays take about sixty times that
 BUCKET_BYTES = 2 << 20
