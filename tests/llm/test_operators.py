@@ -167,6 +167,20 @@ def test_near_copies(spark, none):
     assert got == {9: 4, 4: 4, 5: 5, 6: 6} and simhash.near_copies(none).count() == 0
 
 
+def test_alike_in_large_components(spark, monkeypatch):
+    """Pairs settled by shares of the tokens equal pairs settled at once."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 120)
+    sets = {i: np.unique(np.concatenate([base[: 100 + i % 20], rng.integers(-(1 << 62), 1 << 62, i % 25)]).view(np.uint64)).view(np.int64) for i in range(40)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    want = {(a, b) for a, b in pairs if (n := len(np.intersect1d(sets[a], sets[b]))) * 5 >= (len(sets[a]) + len(sets[b]) - n) * 4}
+    table_ = spark.createDataFrame([(i, x.tolist()) for i, x in sets.items()], "id long, x array<long>")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    for tokens in (1 << 21, 500):
+        monkeypatch.setattr(simhash, "CELL_TOKENS", tokens)
+        assert {tuple(r) for r in simhash._alike(asked, table_, 4, 5).collect()} == want and 0 < len(want) < len(pairs)
+
+
 def test_components_unsettled(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}

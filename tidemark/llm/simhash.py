@@ -228,33 +228,43 @@ def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs a < b, those whose sets (id, x) are num / den alike or more.
 
     Pairs of one component of the pair graph are settled in one task, so a set travels once and not once a pair. Small
-    components share tasks; one of more than CELL_TOKENS tokens is cut by the hashes of both ends, and a set goes to the cells
-    that hold a pair of it.
+    components share tasks. One of more than CELL_TOKENS tokens is cut by tokens: every task gets a share of the tokens of all
+    its sets, counts what each pair has in common there, and the counts are added. So there too each token travels once.
     """
     roots = components(pairs)
     known = roots.join(sets.select(F.col("id").alias("node"), F.size("x").cast("long").alias("size")), "node")
     weight = written(known.groupBy("root").agg(F.sum("size").alias("size")).withColumn("parts", F.ceil(F.col("size") / CELL_TOKENS).cast("int")), "near-weights")
     shared = max(1, -(-(weight.filter("parts <= 1").agg(F.sum("size")).first()[0] or 0) // CELL_TOKENS))
-    end = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
-    home = F.when(F.col("parts") > 1, F.struct(F.col("root").alias("r"), end("a").alias("i"), end("b").alias("j"))).otherwise(
-        F.struct(F.pmod(F.xxhash64("root"), F.lit(shared)).alias("r"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    dealt = written(pairs.join(roots.withColumnRenamed("node", "a"), "a").join(weight, "root").withColumn("cell", home).select("cell.*", "a", "b"), "near-dealt")
-    needed = dealt.select("r", "i", "j", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id")
-    needed = needed.select(*[F.col(c).alias(c) for c in ("r", "i", "j", "id", "x")])
+    home = weight.select("root", "parts", F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(shared))).alias("r"))
+    homes = written(roots.join(home, "root").select("node", "r", "parts"), "near-homes")
+    pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("i")
+    dealt = pairs.join(homes.withColumnRenamed("node", "a"), "a").select("r", "parts", pieces, "a", "b")
+    schema = pa.schema([("r", pa.int64()), ("parts", pa.int32()), ("i", pa.int32()), ("id", pa.int64()), ("x", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r, parts, i, x in zip(*(batch[c].to_pylist() for c in ("r", "parts", "id")), (v.values.to_numpy() for v in batch["x"]), strict=True):
+                share = x.view(np.uint64) % np.uint64(max(1, parts))
+                rows += [(r, parts, t, i, x[share == t]) for t in range(parts)] if parts > 1 else [(r, parts, 0, i, x)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
+
+    few = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
+    bodies = sets.join(few.withColumnRenamed("node", "id"), "id").select("r", "parts", "id", "x").mapInArrow(cut, "r long, parts int, i int, id long, x array<long>")
 
     def settle(bodies: pa.Table, pairs: pa.Table) -> pa.Table:
         flat = bodies["x"].combine_chunks()
         parts = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1]) if len(flat) else []
         held = {i: x.view(np.uint64) for i, x in zip(bodies["id"].to_pylist(), parts, strict=True)}
-        found = []
-        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-            x, y = held[a], held[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if both * den >= (len(x) + len(y) - both) * num:
-                found.append((a, b))
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
-
-    return needed.groupBy("r", "i", "j").cogroup(dealt.groupBy("r", "i", "j")).applyInArrow(settle, "a long, b long")
+        ends = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+        counts = [(len(np.intersect1d(held[a], held[b], assume_unique=True)), len(held[a]), len(held[b])) for a, b in zip(*ends, strict=True)]
+        columns = [*ends, *(zip(*counts, strict=True) if counts else ([], [], []))]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "n_a", "n_b"])
+
+    keys = "r", "parts", "i"
+    found = bodies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(settle, "a long, b long, both long, n_a long, n_b long")
+    found = found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("both", "n_a", "n_b")])
+    return found.filter(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num).select("a", "b")
 
 
 def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
