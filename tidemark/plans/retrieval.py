@@ -70,7 +70,7 @@ def _(t):
     return retrieval.index_stats(retrieval.postings(p), pg.analyse_pages(p)).withColumn("avg_length", r6(F.col("avg_length")))
 
 
-WORDS = ("list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)), "
+WORDS = (r"list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)), "
          f"lambda w: NOT list_contains({sql_list(vocab.INDEX_STOP_WORDS)}, w))")
 cte("index_texts", "SELECT page_id, unnest(['title', 'content', 'meta_description', 'url', 'phrases']) AS field, unnest([title, content, meta_description, url, replace(key_phrases, ';', ' ')]) AS text FROM tagged_pages")
 cte("index_postings", f"""
