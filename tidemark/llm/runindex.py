@@ -129,14 +129,24 @@ class RunIndex:
         padded = np.concatenate([text, np.zeros(4, np.uint16)]).astype(np.uint64)
         four = (padded[:n] << np.uint64(48)) | (padded[1:n + 1] << np.uint64(32)) | (padded[2:n + 2] << np.uint64(16)) | padded[3:n + 3]
         # separators differ by place, so no two suffixes are equal and followers keep the order that matches_elsewhere needs
-        room = self._room(np.arange(n))
-        masked = four & ~((np.uint64(1) << (np.uint64(16) * np.maximum(3 - room, 0).astype(np.uint64))) - np.uint64(1))
+        self.room = np.repeat(self.ends, self.sizes + 1) - np.arange(n)  # signs up to the separator
+        masked = four & ~((np.uint64(1) << (np.uint64(16) * np.maximum(3 - self.room, 0).astype(np.uint64))) - np.uint64(1))
         order = np.argsort(masked, kind="stable")
-        rank, size = self._ranks(masked, order, room < 4), 4
-        while n and rank[order[-1]] < n - 1:
-            key = (rank.astype(np.uint64) << np.uint64(32)) | np.concatenate([rank[size:] + 1, np.zeros(min(size, n), np.int64)])[:n].astype(np.uint64)
-            order = np.argsort(key)
-            rank, size = self._ranks(key, order), size * 2
+        rank, size = self._ranks(masked, order, self.room < 4), 4
+        while True:
+            sorted_ = rank[order]
+            tied = np.concatenate([[False], sorted_[1:] == sorted_[:-1], [False]])
+            at = np.flatnonzero(tied[1:] | tied[:-1])  # suffixes that stand alone keep their place
+            if not len(at):
+                break
+            who = order[at]
+            # tied suffixes have ``size`` signs in common and no separator among them, so both go on within their strings
+            key = (sorted_[at] << np.uint64(32)) | rank[who + size]
+            step = np.argsort(key)
+            order[at], key = who[step], key[step]
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[order[at]] = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+            size *= 2
         self.four = four
         before = np.concatenate([[0], text[:-1]])[order]  # the transform
         change = (before[1:] != before[:-1]) | (before[1:] == 0)  # separators are all different
@@ -146,17 +156,19 @@ class RunIndex:
 
     @staticmethod
     def _ranks(key: np.ndarray, order: np.ndarray, alone: np.ndarray | bool = False) -> np.ndarray:
-        """Equal keys have equal ranks, unless they stand alone."""
+        """The place of the first of its equals in the order, for every key; one that stands alone has its own."""
         sorted_ = key[order]
-        out = np.empty(len(key), np.int64)
+        out = np.empty(len(key), np.uint64)
         new = (sorted_[1:] != sorted_[:-1]) | np.broadcast_to(alone, len(key))[order][1:]
-        out[order] = np.cumsum(np.concatenate([[0], new.astype(np.int64)])) if len(key) else []
+        place = np.arange(len(key))
+        place[1:][~new] = 0
+        out[order] = np.maximum.accumulate(place)
         return out
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes within their strings, four signs at a time."""
         out, live, at = np.zeros(len(a), np.int64), np.arange(len(a)), 0
-        room = np.minimum(self._room(a), self._room(b))
+        room = np.minimum(self.room[a], self.room[b])
         while len(live):
             live = live[room[live] > at]
             same = self.four[a[live] + at] == self.four[b[live] + at]
@@ -170,9 +182,6 @@ class RunIndex:
             out[live] = at
         return np.minimum(out, room)
 
-    def _room(self, at: np.ndarray) -> np.ndarray:
-        return self.ends[np.searchsorted(self.ends, at)] - at
-
     def matches_elsewhere(self) -> np.ndarray:
         """For every place, the longest match that starts anywhere else: samples are measured, the rest streams from them."""
         n = len(self.text)
