@@ -473,18 +473,20 @@ def document_intents(t):
 
 
 @query("doc_query_alignment", f"""
-SELECT doc_id, round(goal_m * 0.35::DOUBLE + case_m * 0.25 + level_m * 0.15::DOUBLE + ethic_m * 0.15::DOUBLE + temporal_m * 0.1::DOUBLE, 6) AS alignment FROM (
-  SELECT doc_id, CASE WHEN doc_goal = goal THEN 1.0 WHEN {RELATED} THEN 0.6 ELSE 0.0 END::DOUBLE AS goal_m,
+SELECT query_id, doc_id, round(goal_m * 0.35::DOUBLE + case_m * 0.25 + level_m * 0.15::DOUBLE + ethic_m * 0.15::DOUBLE + temporal_m * 0.1::DOUBLE, 6) AS alignment FROM (
+  SELECT query_id, doc_id, CASE WHEN doc_goal = goal THEN 1.0 WHEN {RELATED} THEN 0.6 ELSE 0.0 END::DOUBLE AS goal_m,
     CASE WHEN len(use_cases) > 0 THEN len(list_intersect(string_split(doc_use_cases, '; '), use_cases)) / len(use_cases) ELSE 0 END AS case_m,
     CASE WHEN (doc_complexity, skill_level) IN (('simple', 'beginner'), ('moderate', 'intermediate'), ('advanced', 'advanced')) THEN 1.0
       WHEN abs(CASE doc_complexity WHEN 'simple' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END - CASE skill_level WHEN 'beginner' THEN 0 WHEN 'intermediate' THEN 1 ELSE 2 END) = 1
       THEN 0.7 ELSE 0.3 END::DOUBLE AS level_m,
     CASE WHEN len(signals) > 0 THEN len(list_filter(signals, lambda s: contains('; ' || doc_signals, '; ' || split_part(s, '/', 1) || '/'))) / len(signals) ELSE 0 END AS ethic_m,
     CASE WHEN doc_recency = recency_wish THEN 1.0 ELSE 0.5 END AS temporal_m
-  FROM document_intents JOIN request_intents ON query_id = doc_id)""")
+  FROM document_intents JOIN request_intents ON query_id % (SELECT max(doc_id) + 1 FROM documents) = doc_id)""")
 def _(t):
-    rows = document_intents(t).join(intents(t), F.col("doc_id") == F.col("query_id"))
-    return matching.alignment(rows).select("doc_id", r6(F.col("alignment")).alias("alignment"))
+    # every request has a document, dealt in turn, and every document its requests
+    last = t.table("documents").agg(F.max("doc_id")).first()[0]
+    rows = document_intents(t).join(intents(t), F.col("doc_id") == F.pmod("query_id", F.lit((last or 0) + 1)))
+    return matching.alignment(rows).select("query_id", "doc_id", r6(F.col("alignment")).alias("alignment"))
 
 
 # ---------------------------------------------------------------- small pieces
