@@ -69,3 +69,27 @@ def test_admitted_searches_spans():
             want.append(x)
             end = x + 70
     assert (out, until) == (want, end)
+
+
+def test_file_stream_reads_folders_and_files(spark, tmp_path):
+    """A table may be a folder of part files (larger tables are) or one file."""
+    rows = spark.range(100).selectExpr("id", "concat('t', id) AS text")
+    rows.repartition(4).write.parquet(f"{tmp_path}/in/parts.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/single")
+    next((tmp_path / "single").glob("part-*.parquet")).rename(tmp_path / "in" / "one.parquet")
+    for name in ("parts", "one"):
+        jobs.append_to(jobs.file_stream(spark, f"{tmp_path}/in", name), f"{tmp_path}/{name}", f"{tmp_path}/state-{name}").awaitTermination()
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+        assert got == [(i, f"t{i}") for i in range(100)]
+
+
+@pytest.mark.parametrize("name", ["incremental_index_stream", "trending_stream"])
+def test_stream_queries_over_folders(spark, tmp_path, name):
+    """The same rows from folders of part files as from single files."""
+    import __spark_entry__ as entry
+
+    given = "/root/testdata/sf0.001"
+    for table in ("pages", "conversations"):
+        spark.read.parquet(f"{given}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got, want = ([tuple(r) for r in entry.queries()[name](spark, folder).collect()] for folder in (str(tmp_path), given))
+    assert sorted(got) == sorted(want) and got

@@ -19,9 +19,10 @@ LATE = "10 minutes"
 
 
 def file_stream(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    """Stream over one Parquet table of a directory, with the table's own schema."""
-    schema = spark.read.parquet(f"{directory}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(directory)
+    """Stream over one Parquet table of a directory, with the table's own schema. The table is one file or a folder of
+    files; a stream takes a single file only by a pattern."""
+    path = f"{directory}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def kafka_stream(spark: SparkSession, servers: str, topics_: list[str] | None = None) -> DataFrame:
