@@ -40,6 +40,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of texts 0.8 alike or more in distinct five-word shingles; of repeated rows, one.
+    Texts meet by the links of their fingerprints (op3), then by an exact filter that finds the pairs these leave apart.
     Texts without words form one group. Of a group without any doc_id, every different text stays."""
     groups = simhash.near_copies(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("rows"))

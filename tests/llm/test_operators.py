@@ -181,6 +181,50 @@ def test_alike_in_large_components(spark, monkeypatch):
         assert {tuple(r) for r in simhash._alike(asked, table_, 4, 5).collect()} == want and 0 < len(want) < len(pairs)
 
 
+def test_pairs_of_large_components_are_dealt_once(spark, monkeypatch):
+    """Rows grow with the pairs, not with pairs times the size of their component."""
+    star = [(0, b) for b in range(1, 60)] + [(b, b + 1) for b in range(1, 59)]
+    pairs = spark.createDataFrame(star, "a long, b long")
+    sizes = spark.createDataFrame([(i, 100) for i in range(60)], "node long, size long")
+    for tokens in (1 << 21, 500):
+        monkeypatch.setattr(simhash, "CELL_TOKENS", tokens)
+        dealt = simhash._deal(pairs, sizes).collect()
+        assert sorted((r.a, r.b) for r in dealt) == sorted(star)
+        cells = {}
+        for r in dealt:
+            cells.setdefault((r.r, r.i), set()).update((r.a, r.b))
+        assert sum(map(len, cells.values())) <= 60 + len(star) and (len(cells) > 4) == (tokens == 500)
+
+
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(5)
+    draw = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)
+    ruled_out = 0
+    for size in (0, 1, 3, 16, 60, 500, 9000):
+        base = draw(size)
+        for kept in (1.0, 0.95, 0.9, 0.85, 0.5, 0.0):
+            other = np.concatenate([base[:int(size * kept)], draw(int(size * (1 - kept) * 0.5))])
+            x, y = np.unique(base), np.unique(other)
+            both = len(np.intersect1d(x, y))
+            held = simhash.may_be_alike(simhash.sketch(x), simhash.sketch(y), 4, 5)
+            assert held or both * 5 < (len(x) + len(y) - both) * 4
+            ruled_out += not held
+    assert ruled_out > 8
+    assert simhash.sketch(np.arange(5000, dtype=np.uint64)) == b"" and simhash.may_be_alike(b"", simhash.sketch(draw(9)), 4, 5)
+
+
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """The links of op3 find copies with small edits by themselves; the exact check drops those that only look alike."""
+    base = [f"w{i * i % 977}" for i in range(400)]
+    one = [*base[:399], "last"]
+    bulk = " ".join(f"line{i}" for i in range(13)) + " "
+    texts = [" ".join(base), " ".join(one), bulk * 400 + "some own words here now", bulk * 400 + "these are quite other words"]
+    prints = [int(simhash.fingerprint(t.encode(), 3)[0]) for t in texts]
+    assert all(bin((prints[i] ^ prints[i + 1]) & (1 << 64) - 1).count("1") <= 2 for i in (0, 2))
+    monkeypatch.setattr(simhash, "_prefix", lambda x, *_: x[:0])
+    assert copies_of(spark, texts) == [0, 0, 2, 3]
+
+
 def test_components_unsettled(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}

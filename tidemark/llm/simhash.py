@@ -27,7 +27,8 @@ SAMPLE = 8_000  # texts, or a 32nd of all if that is more, that show which token
 COMMON = 100_000  # tokens whose count is known; the others pass for rare
 BLOCK = 512  # sets on each side of a block of pairs
 BROADCAST_ROWS = 1 << 20  # wanted rows (three longs) that are sent to all texts, about 25 MB
-CELL_TOKENS = 1 << 21  # tokens of the sets that are compared in one task, 16 MB
+CELL_TOKENS = 1 << 21  # tokens of a component whose pairs are settled in one task, 16 MB
+SKETCH = 1 << 12  # most buckets of a set's sketch, a byte each
 COLUMNS = 4096  # tokens of a block taken at once
 
 
@@ -150,6 +151,15 @@ def _set_id(x: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(x.tobytes(), SEED))
 
 
+def _linked(prints: DataFrame, t: int) -> DataFrame:
+    """a < b: the sets (id) to settle so that those of equal or linked fingerprints (fp) meet. Rows (fp, id) are distinct; the
+    smallest set of a fingerprint stands for it."""
+    first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "near-fingerprints")
+    own = prints.join(first, "fp").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    met = links(first.select("fp"), t).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return own.union(met).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that many texts hold, in ascending order, and how many; from a sample, as they only order the tokens."""
     share = max(1, min(texts.count() // SAMPLE, 32))
@@ -224,69 +234,116 @@ def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(build, "id long, x array<long>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs a < b, those whose sets (id, x) are num / den alike or more.
+def sketch(x: np.ndarray) -> bytes:
+    """How many tokens fall into each bucket of their leading bits, a byte a bucket and a bucket for one or two tokens; longer
+    sets fill SKETCH buckets more. Empty if a byte does not hold a count."""
+    bits = max(4, min(len(x), SKETCH).bit_length() - 1)
+    counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_be_alike(p: bytes, q: bytes, num: int, den: int) -> bool:
+    """Whether two sets of these sketches can be num / den alike: they share at most the lesser count of every bucket."""
+    if not p or not q:
+        return True
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in sorted((p, q), key=len))
+    both = np.minimum(x, y.reshape(len(x), -1).sum(1)).sum()
+    return bool(both * (num + den) >= (x.sum() + y.sum()) * num)
+
+
+def _hopeful(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their sketches (id, sketch) do not rule out. No pair that is num / den alike is lost."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [may_be_alike(p, q, num, den) for p, q in zip(batch["p"].to_pylist(), batch["q"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(held, pa.bool_())), batch["b"].filter(pa.array(held, pa.bool_()))], schema=schema)
 
-    Pairs of one component of the pair graph are settled in one task, so a set travels once and not once a pair. Small
-    components share tasks. One of more than CELL_TOKENS tokens is cut by tokens: every task gets a share of the tokens of all
-    its sets, counts what each pair has in common there, and the counts are added. So there too each token travels once.
+    both = pairs.join(sketches.toDF("a", "p"), "a").join(sketches.toDF("b", "q"), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _deal(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """r, i, a, b: the one cell in which each pair is settled.
+
+    Pairs of one component of the pair graph meet in one cell, and small components share cells. Those of a component of more
+    than CELL_TOKENS tokens are dealt by the end that has fewer partners, so a set goes to at most as many cells as it has
+    partners, and only the few sets in the middle of a star go to many.
     """
     roots = components(pairs)
-    known = roots.join(sets.select(F.col("id").alias("node"), F.size("x").cast("long").alias("size")), "node")
-    weight = written(known.groupBy("root").agg(F.sum("size").alias("size")).withColumn("parts", F.ceil(F.col("size") / CELL_TOKENS).cast("int")), "near-weights")
-    shared = max(1, -(-(weight.filter("parts <= 1").agg(F.sum("size")).first()[0] or 0) // CELL_TOKENS))
+    known = roots.join(sizes, "node")
+    weight = written(known.groupBy("root").agg(F.sum("size").alias("size")).withColumn("parts", F.greatest(F.ceil(F.col("size") / CELL_TOKENS), F.lit(1))), "near-weights")
+    shared = max(1, -(-(weight.filter("parts = 1").agg(F.sum("size")).first()[0] or 0) // CELL_TOKENS))
     home = weight.select("root", "parts", F.when(F.col("parts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(shared))).alias("r"))
-    homes = written(roots.join(home, "root").select("node", "r", "parts"), "near-homes")
-    pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("i")
-    dealt = pairs.join(homes.withColumnRenamed("node", "a"), "a").select("r", "parts", pieces, "a", "b")
-    schema = pa.schema([("r", pa.int64()), ("parts", pa.int32()), ("i", pa.int32()), ("id", pa.int64()), ("x", pa.list_(pa.int64()))])
+    dealt = written(pairs.join(roots.join(home, "root").select(F.col("node").alias("a"), "r", "parts"), "a"), "near-dealt")
+    large = dealt.filter("parts > 1")
+    ends = large.select("a").union(large.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("n"))
+    large = large.join(ends.toDF("a", "n_a"), "a").join(ends.toDF("b", "n_b"), "b")
+    owner = F.when(F.col("n_a") < F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    large = large.select("r", F.pmod(F.xxhash64(owner), F.col("parts")).alias("i"), "a", "b")
+    return dealt.filter("parts = 1").select("r", F.lit(-1).cast("long").alias("i"), "a", "b").union(large)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r, parts, i, x in zip(*(batch[c].to_pylist() for c in ("r", "parts", "id")), (v.values.to_numpy() for v in batch["x"]), strict=True):
-                share = x.view(np.uint64) % np.uint64(max(1, parts))
-                rows += [(r, parts, t, i, x[share == t]) for t in range(parts)] if parts > 1 else [(r, parts, 0, i, x)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
 
-    few = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS else homes
-    bodies = sets.join(few.withColumnRenamed("node", "id"), "id").select("r", "parts", "id", "x").mapInArrow(cut, "r long, parts int, i int, id long, x array<long>")
+def _alike(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs a < b, those whose sets (id, x) are num / den alike or more. Each pair is settled once, where ``_deal`` puts it."""
+    dealt = written(_deal(pairs, sets.select(F.col("id").alias("node"), F.size("x").cast("long").alias("size"))), "near-cells-of-pairs")
+    where = dealt.select(F.col("r").alias("cell"), F.col("i").alias("part"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    bodies = sets.join(where, "id").select("cell", "part", "id", "x")
 
     def settle(bodies: pa.Table, pairs: pa.Table) -> pa.Table:
         flat = bodies["x"].combine_chunks()
         parts = np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1]) if len(flat) else []
         held = {i: x.view(np.uint64) for i, x in zip(bodies["id"].to_pylist(), parts, strict=True)}
-        ends = pairs["a"].to_pylist(), pairs["b"].to_pylist()
-        counts = [(len(np.intersect1d(held[a], held[b], assume_unique=True)), len(held[a]), len(held[b])) for a, b in zip(*ends, strict=True)]
-        columns = [*ends, *(zip(*counts, strict=True) if counts else ([], [], []))]
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "n_a", "n_b"])
+        found = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
+            both = len(np.intersect1d(held[a], held[b], assume_unique=True))
+            if both * den >= (len(held[a]) + len(held[b]) - both) * num:
+                found.append((a, b))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
 
-    keys = "r", "parts", "i"
-    found = bodies.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(settle, "a long, b long, both long, n_a long, n_b long")
-    found = found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("both", "n_a", "n_b")])
-    return found.filter(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num).select("a", "b")
+    return bodies.groupBy("cell", "part").cogroup(dealt.groupBy("r", "i")).applyInArrow(settle, "a long, b long")
 
 
-def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8, words: int = 3, t: int = 2) -> DataFrame:
     """doc_id, text_hash, component_id: texts whose sets of n-word shingles have a Jaccard similarity of ``similarity`` or more.
 
-    Every pair is settled by its exact similarity (shingles as 64-bit hashes). Equal sets fold to one. Two sets that are
-    alike enough share one of the rarest tokens of each (prefix filter), so sets meet by these. Under a token of up to GROUP
+    Every pair is settled by its exact similarity (shingles as 64-bit hashes). Equal sets fold to one. Texts whose
+    fingerprints (of ``words``-word shingles) link at ``t`` bits by ``links`` are settled first; the rest of the step only
+    looks for pairs that these links leave apart. Two sets that are alike enough share one of the rarest tokens of each
+    (prefix filter), so sets meet by these. Under a token of up to GROUP
     sets all pairs are compared, but for those that share too few of the tokens. Under a token of more, a set is first
     compared with the smallest and the two before it; where that leaves different components, all their pairs are compared
     by blocks. So a large family of copies costs no pairs, and no pair is left out. Rows as in ``near_duplicates``; texts without words are one component.
     """
     num, den = Fraction(str(similarity)).as_integer_ratio()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary())])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [_set_id(tokens(t, n)) for t in byte_texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(ids, pa.int64())], schema=schema)
-
-    prints = written(texts.mapInArrow(name, "doc_id long, text_hash long, id long"), "near-prints")
+            ids, prints, sketches = [], [], []
+            for text in byte_texts(batch["text"]):
+                x = tokens(text, n)
+                ids.append(_set_id(x))
+                prints.append(int(fingerprint(text, words)[0]))
+                sketches.append(sketch(x))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *(pa.array(c, f.type) for c, f in zip((ids, prints, sketches), list(schema)[2:], strict=True))], schema=schema)
+
+    prints = written(texts.mapInArrow(name, "doc_id long, text_hash long, id long, fp long, sketch binary"), "near-prints")
     distinct = written(prints.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row")), "near-distinct")
+
+    def settle(tried: DataFrame) -> DataFrame:
+        ids = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sketches = prints.select("id", "sketch").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        tried = written(_hopeful(tried, sketches, num, den), "near-hopeful")
+        return written(_alike(tried, sets_of(tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()), num, den), "near-edges")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return written(_sets(texts, ids.join(distinct, "id").select("id", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h")), n), "near-sets")
+
+    linked = settle(written(_linked(prints.select("fp", "id").distinct(), t), "near-linked"))
+    classes = components(linked)
     common = _common(texts, n)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,11 +382,10 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
         F.count("*").alias("c"), F.max("at1").alias("at1"), F.max("at2").alias("at2"))
     most = F.col("c") + F.least("hot1", "hot2") + F.least(F.col("size1") - F.col("at1") - 1, F.col("size2") - F.col("at2") - 1)
     pairs = pairs.filter(most * (num + den) >= (F.col("size1") + F.col("size2")).cast("long") * num).select("a", "b")
-    tried = written(stars.union(pairs).distinct(), "near-tried")
-    wanted = tried.select("a").union(tried.select("b")).union(big.select("id")).toDF("id").distinct()
-    wanted = wanted.join(distinct, "id").select("id", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("h"))
-    sets = written(_sets(texts, wanted, n), "near-sets")
-    edges = written(_alike(tried, sets, num, den), "near-edges")
+    tried = stars.union(pairs).distinct()
+    for end in "a", "b":
+        tried = tried.join(classes.toDF(end, f"class_{end}"), end, "left").withColumn(f"class_{end}", F.coalesce(f"class_{end}", end))
+    edges = linked.union(settle(written(tried.filter("class_a <> class_b").select("a", "b"), "near-tried")))
     roots = components(edges).withColumnRenamed("node", "id").withColumnRenamed("root", "comp")
     open_ = big.select("token", "id", "n").join(roots, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     mixed = open_.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("token")
@@ -343,7 +399,7 @@ def near_copies(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFra
 
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     many = open_.withColumn("i", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
-    many = many.select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "comp").join(sets, "id")
+    many = many.select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "id", "comp").join(sets_of(open_.select("id").distinct()), "id")
     edges = edges.union(many.groupBy("token", "i", "j").applyInArrow(block, "a long, b long"))
     roots = components(edges).withColumnRenamed("node", "id")
     named = distinct.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
