@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import dedup, ordered, retrieval
@@ -102,3 +103,14 @@ def test_vector_topk_over_several_blocks(spark, monkeypatch):
     for q in range(60):
         want = sorted(range(60), key=lambda j: (-s[q, j], j))[:3]
         assert [r.vec_id for r in sorted((r for r in out if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
+def test_greedy_jaccard_rounds_do_not_grow_with_a_common_word(spark, monkeypatch):
+    """Rows that share their longest words only do not wait for each other, round after round."""
+    common = [f"averyveryverylongword{i}" for i in range(6)]
+    rows = [("q", n, common + [f"n{n}x{i}" for i in range(34)]) for n in range(40)]
+    rows += [("q", 100 + n, w[:39] + ["other"]) for _, n, w in rows[:10]]  # 39 of 41 words alike
+    cuts, cut = [], dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: cuts.append(1) or (cut(df) if len(cuts) < 12 else pytest.fail("too many rounds")))
+    got = {r.n for r in dedup.greedy_jaccard(spark.createDataFrame(rows, "q string, n bigint, w array<string>"), "q", "n", "w", 0.9).collect()}
+    assert got == set(range(40))
