@@ -1,6 +1,10 @@
 """Vector search over cells and under filters, against the full product."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import cells
@@ -71,3 +75,26 @@ def test_empty(spark):
     assert cells.cell_topk(none.withColumnRenamed("vec_id", "query_id"), cells.build_cells(none), 5).count() == 0
     index = cells.build_cells(frame(spark, [1], [[1.0, 0.0]]))
     assert cells.cell_topk(frame(spark, [], [], "query_id"), index, 5).count() == 0
+
+
+def test_memory_of_a_block_is_bounded():
+    """The scores of a full block are never held at once, and the rows sent to the parts of cells go out in bounded batches."""
+    rng = np.random.default_rng(2)
+    side = lambda name: pd.DataFrame({name: np.arange(4096), "embedding": list(rng.normal(size=(4096, 16)))})
+    queries, vectors = side("query_id"), side("vec_id")
+    tracemalloc.start()
+    got = cells.nearest_in_block(queries, vectors, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(got) == 4096 * 5
+    x, y = (cells.unit_rows(d["embedding"]) for d in (queries, vectors))
+    scores = np.round(x[1000:1040] @ y.T, 6)
+    assert (got.vec_id.to_numpy().reshape(-1, 5)[1000:1040] == np.argsort(-scores, axis=1, kind="stable")[:, :5]).all()
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([[0.5, 0.5]] * 200), pa.array([0] * 200)], names=["query_id", "embedding", "qb"])
+    parts = np.array([700, 0, 3])
+    row, cell = np.repeat(np.arange(200), 2), np.tile([0, 2], 200)
+    out = list(cells.asked_parts(batch, row, cell, parts))
+    assert sum(b.num_rows for b in out) == 200 * 703 and max(b.num_rows for b in out) <= cells.ASKED_ROWS
+    want = {(q, c, i) for q in range(200) for c in (0, 2) for i in range(parts[c])}
+    assert {t for b in out for t in zip(*(b[c].to_pylist() for c in ("query_id", "cell", "part")), strict=True)} == want

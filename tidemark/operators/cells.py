@@ -20,6 +20,8 @@ from tidemark.operators import ordered
 from tidemark.session import cut_lineage
 
 BLOCK_ROWS = 4096  # vectors, or queries, that meet in one task
+SCORED_ROWS = 512  # queries of a block that are scored at once
+ASKED_ROWS = 1 << 15  # rows that one query batch sends on at once
 SAMPLE = 65_536  # vectors the centroids are trained on, at most
 MAX_CELLS = 1024
 ROUNDS = 8
@@ -50,9 +52,25 @@ def nearest_in_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd
     if len(queries) == 0 or len(vectors) == 0:
         return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})
     vectors = vectors.sort_values("vec_id", ignore_index=True)
-    scores = np.round(unit_rows(queries["embedding"]) @ unit_rows(vectors["embedding"]).T, 6)
-    row, col = best_of(scores, k)
-    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "vec_id": vectors["vec_id"].to_numpy()[col], "score": scores[row, col]})
+    x, y, found = unit_rows(queries["embedding"]), unit_rows(vectors["embedding"]), []
+    for at in range(0, len(x), SCORED_ROWS):
+        scores = np.round(x[at:at + SCORED_ROWS] @ y.T, 6)
+        row, col = best_of(np.where(np.isnan(scores), -np.inf, scores), k)
+        found.append((row + at, col, scores[row, col]))
+    row, col, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "vec_id": vectors["vec_id"].to_numpy()[col], "score": score})
+
+
+def asked_parts(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The queries ``row`` of a batch once for every part of the cells they open, in batches of about ASKED_ROWS rows."""
+    step = max(1, ASKED_ROWS // max(1, int(parts.max())))
+    for start in range(0, len(row), step):
+        r, c = row[start:start + step], cell[start:start + step]
+        at = np.repeat(np.arange(len(r)), parts[c])
+        part = np.arange(len(at)) - np.repeat(np.cumsum(parts[c]) - parts[c], parts[c])
+        take = pa.array(r[at])
+        yield pa.RecordBatch.from_arrays([batch["query_id"].take(take), batch["embedding"].take(take), batch["qb"].take(take),
+                                          pa.array(c[at].astype(np.int32)), pa.array(part.astype(np.int32))], names=["query_id", "embedding", "qb", "cell", "part"])
 
 
 def train_centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
@@ -140,11 +158,7 @@ def cell_topk(queries: DataFrame, index: CellIndex, k: int, probes: int = 4, exa
                     left = (np.isnan(floor)[:, None] | (reach >= floor[:, None] - SLACK)) & (parts > 0)[None, :]
                     left[row, cell] = False
                     row, cell = np.nonzero(left)
-                at = np.repeat(np.arange(len(row)), parts[cell])
-                part = np.arange(len(at)) - np.repeat(np.cumsum(parts[cell]) - parts[cell], parts[cell])
-                take = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([batch["query_id"].take(take), batch["embedding"].take(take), batch["qb"].take(take),
-                                                  pa.array(cell[at].astype(np.int32)), pa.array(part.astype(np.int32))], names=["query_id", "embedding", "qb", "cell", "part"])
+                yield from asked_parts(batch, row, cell, parts)
 
         return run
 
