@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, vocab
-from tidemark.operators import ordered
+from tidemark.operators import cells, ordered
 from tidemark.operators import pages as pg
 
 TITLE_BOOST = 2.0  # fixed value
@@ -130,30 +130,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int
                           F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>")).alias("vb"))
     right = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("vb"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")).alias("qb"))
-    top = k
-
-    def nearest(a, b):
-        import numpy as np
-        import pandas as pd
-
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-
-        def normal(rows):
-            m = np.stack([np.asarray(r, dtype=np.float64) for r in rows])
-            length = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-        b = b.sort_values("vec_id", ignore_index=True)
-        scores = np.round(normal(a["embedding"]) @ normal(b["embedding"]).T, 6)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-        return pd.DataFrame({
-            "query_id": np.repeat(a["query_id"].to_numpy(), best.shape[1]), "vec_id": b["vec_id"].to_numpy()[best].ravel(),
-            "score": np.take_along_axis(scores, best, axis=1).ravel()})
-
     blocks = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(
-        nearest, "query_id bigint, vec_id bigint, score double")
+        lambda a, b: cells.nearest_in_block(a, b, k), cells.FOUND)
     return ordered.top_k(blocks, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
