@@ -2,101 +2,127 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, vocab
-from tidemark.functions.text import any_of, clamp, contains_any, count_contains, first_match
-from tidemark.functions.urls import bare_host, host, part, suffixes
+from tidemark.functions.text import clamp, contains_any, count_contains, first_match, quoted_alternation
+from tidemark.functions.urls import bare_host, host, part
 from tidemark.operators import filters, ordered
+from tidemark.session import once
+
+
+def _suffix(domains: Iterable[str]) -> str:
+    """Pattern of a host that is one of the domains or below one. The leftmost match is the longest name."""
+    return r"(?:^|\.)(" + quoted_alternation(domains) + r")\z"
+
+
+def _known(table: dict, domain: Column) -> Column:
+    """The longest name of a fixed table that is the domain or one of its parents; null if none is."""
+    return F.nullif(F.regexp_extract(domain, _suffix(table), 1), F.lit(""))
+
 
+def _value(table: dict, name: Column) -> Column:
+    """Value of a name in a small fixed table, null if it is not there."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name)
 
-def _lookup(table: dict[str, object], names: Column) -> Column:
-    """Value of the longest name found in a small fixed table; null if none is there."""
-    literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.try_element_at(F.filter(F.transform(names, lambda n: F.try_element_at(literal, n)), lambda v: v.isNotNull()), F.lit(1))
 
+def _under(domains: list[str], domain: Column) -> Column:
+    """Whether the domain is one of the domains or below one."""
+    return domain.rlike(_suffix(domains))
 
-def _under(domains: list[str], names: Column) -> Column:
-    return F.arrays_overlap(names, F.array(*[F.lit(d) for d in domains]))
+
+def facts(domain: Column, name: Column | None = None) -> dict[str, Column]:
+    """J7, first profile. The host is compared with the fixed domain tables, so there is no ends-with
+    join. Known domains (``name``, if it is looked up already) keep their facts; others get defaults by tracker or
+    platform."""
+    name = _known(vocab.PRIVACY_DOMAINS_V1, domain) if name is None else name
+    column = lambda i: _value({d: v[i] for d, v in vocab.PRIVACY_DOMAINS_V1.items()}, name)
+    big = name.isNull() & _under(vocab.BIG_TECH_V1, domain)
+    tracker = name.isNull() & _under(vocab.TRACKERS_V1, domain)
+    return {
+        "privacy_score": F.coalesce(column(0), F.when(big, 0.3).otherwise(0.5)),
+        "tracker_count": F.coalesce(column(1), F.when(big, 3).when(tracker, 1).otherwise(0)),
+        "kind": F.coalesce(column(2), F.lit("unknown")),
+        "is_open_source": F.coalesce(column(3), F.lit(False)),
+        "is_non_profit": F.coalesce(column(4), F.lit(False)), "is_big_tech": big}
 
 
 def domain_facts(domain: Column) -> Column:
-    """J7, first profile. The host's own suffixes are looked up in the fixed domain tables, so there is
-    no ends-with join. Known domains keep their facts; others get defaults by tracker or platform."""
-    names = suffixes(domain)
-    column = lambda i: _lookup({d: v[i] for d, v in vocab.PRIVACY_DOMAINS_V1.items()}, names)
-    known = column(0)
-    big = known.isNull() & _under(vocab.BIG_TECH_V1, names)
-    tracker = known.isNull() & _under(vocab.TRACKERS_V1, names)
-    return F.struct(
-        F.coalesce(known, F.when(big, 0.3).otherwise(0.5)).alias("privacy_score"),
-        F.coalesce(column(1), F.when(big, 3).when(tracker, 1).otherwise(0)).alias("tracker_count"),
-        F.coalesce(column(2), F.lit("unknown")).alias("kind"),
-        F.coalesce(column(3), F.lit(False)).alias("is_open_source"),
-        F.coalesce(column(4), F.lit(False)).alias("is_non_profit"), big.alias("is_big_tech"))
-
-
-def domain_facts_v2(domain: Column) -> Column:
+    """The facts of a domain as one structure."""
+    return F.struct(*[c.alias(n) for n, c in facts(domain).items()])
+
+
+def with_facts(rows: DataFrame) -> DataFrame:
+    """Rows with the facts of their ``domain`` as columns."""
+    found = once(rows, _known=_known(vocab.PRIVACY_DOMAINS_V1, F.col("domain")))
+    return once(found, **facts(F.col("domain"), F.col("_known"))).drop("_known")
+
+
+def facts_v2(domain: Column) -> dict[str, Column]:
     """J7, second profile."""
-    names = suffixes(domain)
     exact = lambda ds: domain.isin(ds)
     score = (F.when(exact(vocab.PRIVACY_DOMAINS_V2), 0.95).when(exact(vocab.BIG_TECH_V2), 0.3)
-             .when(_under(vocab.PRIVACY_DOMAINS_V2, names), 0.9).when(_under(vocab.BIG_TECH_V2, names), 0.25)
+             .when(_under(vocab.PRIVACY_DOMAINS_V2, domain), 0.9).when(_under(vocab.BIG_TECH_V2, domain), 0.25)
              .when(contains_any(domain, vocab.TRACKERS_V2), 0.1).otherwise(0.5))
-    return F.struct(
-        score.alias("privacy_score"), count_contains(domain, vocab.TRACKERS_V2).alias("tracker_count"),
-        contains_any(domain, vocab.OPEN_SOURCE_V2).alias("is_open_source"),
-        contains_any(domain, vocab.NON_PROFIT_V2).alias("is_non_profit"), _under(vocab.BIG_TECH_V2, names).alias("is_big_tech"))
+    return {
+        "privacy_score": score, "tracker_count": count_contains(domain, vocab.TRACKERS_V2),
+        "is_open_source": contains_any(domain, vocab.OPEN_SOURCE_V2),
+        "is_non_profit": contains_any(domain, vocab.NON_PROFIT_V2), "is_big_tech": _under(vocab.BIG_TECH_V2, domain)}
 
 
 def authority(domain: Column) -> Column:
     """U4."""
-    return F.coalesce(_lookup(vocab.AUTHORITY_DOMAINS, suffixes(domain)), F.lit(vocab.AUTHORITY_DEFAULT))
+    return F.coalesce(_value(vocab.AUTHORITY_DOMAINS, _known(vocab.AUTHORITY_DOMAINS, domain)), F.lit(vocab.AUTHORITY_DEFAULT))
 
 
 def title_case(text: Column) -> Column:
     """Upper case after anything that is not a letter, lower case after a letter."""
     chars = F.split(text, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(
+    any_script = F.array_join(F.transform(chars, lambda c, i: F.when(
         (i > 0) & F.coalesce(F.get(chars, i - 1).rlike(r"\p{L}"), F.lit(False)), F.lower(c)).otherwise(F.upper(c))), "")
+    # ASCII text by whole words instead of characters: each part ends with the character that is no letter
+    ascii_only = F.array_join(F.transform(F.split(text, r"(?<=[^A-Za-z])"), lambda w: F.initcap(w)), "")
+    return F.when(text.rlike(r"[^\x00-\x7f]"), any_script).otherwise(ascii_only)
 
 
-def content_type(domain: Column, path: Column) -> Column:
-    both = F.concat_ws(" ", domain, path)
+def content_type(both: Column) -> Column:
+    """From domain and path, joined by a space."""
     return first_match([(k, contains_any(both, ws)) for k, ws in vocab.CONTENT_TYPE_WORDS_V1], "general")
 
 
-def title_from_path(domain: Column, path: Column) -> Column:
-    last = F.regexp_extract(path, r"([^/]+)/*$", 1)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(last, "[-_]", " "), r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_](?![\p{L}\p{N}_])", ""))
-    return F.when(clean == "", domain).otherwise(title_case(clean))
+def cleaned_path(path: Column) -> Column:
+    """The last part of a path as words, without those of one character."""
+    last = F.translate(F.regexp_extract(path, r"([^/]+)/*$", 1), "-_", "  ")
+    return F.trim(F.regexp_replace(last, r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_](?![\p{L}\p{N}_])", ""))
 
 
 def analyse_urls(urls: DataFrame) -> DataFrame:
     """U1, first profile: domain, facts, content type, title, description and authority of each URL."""
-    staged = urls.select("*", bare_host(F.col("url")).alias("domain"), F.lower(part(F.col("url"), 3)).alias("_path"))
-    kinds = staged.withColumn("content_type", content_type(F.col("domain"), F.col("_path"))).withColumn(
-        "info", domain_facts(F.col("domain")))
+    staged = once(urls, domain=bare_host(F.col("url")), _host=host(F.col("url")), _path=F.lower(part(F.col("url"), 3)))
+    staged = once(with_facts(staged), _both=F.concat_ws(" ", "domain", "_path"), _title=cleaned_path(F.col("_path")))
+    kinds = once(staged, content_type=content_type(F.col("_both")))
     label = F.create_map(*[F.lit(x) for kv in vocab.CONTENT_DESCRIPTION_V1.items() for x in kv])
     return kinds.select(
-        *urls.columns, "domain", "content_type", title_from_path(F.col("domain"), F.col("_path")).alias("title"),
-        F.concat(label[F.col("content_type")], F.lit(" from "), host(F.col("url"))).alias("description"),
-        "info.privacy_score", "info.tracker_count", "info.is_open_source", "info.is_non_profit", "info.is_big_tech",
+        *urls.columns, "domain", "content_type", F.when(F.col("_title") == "", F.col("domain")).otherwise(title_case(F.col("_title"))).alias("title"),
+        F.concat(label[F.col("content_type")], F.lit(" from "), "_host").alias("description"),
+        "privacy_score", "tracker_count", "is_open_source", "is_non_profit", "is_big_tech",
         F.lit(True).alias("encryption_enabled"), authority(F.col("domain")).alias("authority_score"))
 
 
 def analyse_urls_v2(urls: DataFrame) -> DataFrame:
     """U1, second profile."""
-    staged = urls.select("*", bare_host(F.col("url")).alias("domain")).withColumn("info", domain_facts_v2(F.col("domain")))
-    labels = F.split("domain", r"\.")
-    name = F.translate(F.try_element_at(labels, F.lit(-2)), "-_", "  ")
-    low = F.lower("url")
+    staged = once(urls, domain=bare_host(F.col("url")), _low=F.lower("url"))
+    name = F.translate(F.substring_index(F.substring_index("domain", ".", -2), ".", 1), "-_", "  ")
+    staged = once(staged, **facts_v2(F.col("domain")), _name=F.when(F.col("domain").contains("."), name))
+    low = F.col("_low")
     return staged.select(
-        *urls.columns, "domain", F.when(F.size(labels) >= 2, title_case(name)).otherwise(F.col("domain")).alias("title"),
+        *urls.columns, "domain", F.when(F.col("_name").isNotNull(), title_case(F.col("_name"))).otherwise(F.col("domain")).alias("title"),
         F.concat(F.lit("Web resource from "), "domain").alias("description"),
         first_match([(k, contains_any(low, ws)) for k, ws in vocab.CONTENT_TYPE_WORDS_V2], "general").alias("content_type"),
-        "info.privacy_score", "info.tracker_count", "info.is_open_source", "info.is_non_profit", "info.is_big_tech",
+        "privacy_score", "tracker_count", "is_open_source", "is_non_profit", "is_big_tech",
         F.col("url").startswith("https").alias("encryption_enabled"))
 
 
@@ -163,19 +189,23 @@ def score_urls_v2(rows: DataFrame, weights: dict[str, float] | None = None) -> D
 
 
 def rank_urls(requests: DataFrame, urls: DataFrame, profile: str = "v1", min_privacy: float = 0.0, exclude_big_tech: bool = False,
-              weights: dict[str, float] | None = None) -> DataFrame:
+              weights: dict[str, float] | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """Filter, score and number the URLs of each request. ``requests`` carries query_id, text,
-    constraints, negative_preferences and ethical_signals."""
+    constraints, negative_preferences and ethical_signals. ``columns``: what is wanted beside query_id, url, final_score
+    and rank (None: everything)."""
+    rows = filters.request_join(requests, urls)
     if profile == "v2":
-        rows = filters.request_join(requests, analyse_urls_v2(urls))
+        rows = analyse_urls_v2(rows)
     else:
-        rows = filters.request_join(requests, analyse_urls(urls))
+        rows = analyse_urls(rows)
         rows = rows.where(filters.url_constraints_ok(F.col("constraints"), F.col("domain"), F.col("privacy_score"))
                           & filters.negative_preferences_ok(F.col("negative_preferences"), F.col("domain")))
     rows = rows.where(F.col("privacy_score") >= min_privacy)
     if exclude_big_tech:
         rows = rows.where(~F.col("is_big_tech"))
     scored = score_urls_v2(rows, weights) if profile == "v2" else score_urls(rows, weights)
+    if columns is not None:
+        scored = scored.select("query_id", "url", "final_score", *columns)
     return ordered.ranked(scored, ["query_id"], "final_score", "url")
 
 
