@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
 from tidemark.functions.text import keep
-from tidemark.operators import dedup, ordered, ranking, urls
+from tidemark.operators import dedup, ordered, ranking, retrieval, urls
+from tidemark.operators import pages as pg
 
 
 def plan(df):
@@ -58,6 +59,14 @@ def test_url_facts_are_found_once(spark):
     assert rows["http://notproton.me/é-ßtadt"][0] == 0.5
 
 
+def test_tags_read_a_parsed_page(spark):
+    df = spark.createDataFrame([(1, "u", "<title>T</title><body>learn python tutorial</body>"), (2, "u", "<body>buy</body>")], "page_id long, url string, html string")
+    tagged = pg.analyse_pages(pg.html_to_page(df))
+    found = retrieval.tag_search(tagged, goal="learn", use_case="learning").select("page_id", "skill_level")
+    assert plan(found).count("</body>") <= 4  # the body is cut out once, not once per pattern
+    assert [r.page_id for r in found.collect()] == [r.page_id for r in tagged.orderBy("page_id").collect() if r.primary_goal == "learn" and "learning" in r.use_cases]
+
+
 def test_overlap_join_shuffles_texts(spark):
     left = spark.createDataFrame([(1, "a b"), (2, "")], "k int, lt string")
     right = spark.createDataFrame([(1, "b  c"), (2, "x")], "k int, rt string")

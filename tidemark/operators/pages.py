@@ -240,10 +240,12 @@ def ascii_words(text: Column) -> Column:
 def analyse_pages(docs: DataFrame, max_chars: int | None = None) -> DataFrame:
     """D3-D11, D14 of pages with title, content and meta_description (and pagerank, if there is one)."""
     rank = F.col("pagerank") if "pagerank" in docs.columns else F.lit(0.0)
-    staged = docs.withColumn("text", analysis_text(F.col("title"), F.col("content"), F.col("meta_description"), max_chars))
-    lower = F.lower("text")
+    # each pattern reads the same columns, and a filter on a tag must not bring the page's parsing back once per pattern
+    staged = once(docs, text=analysis_text(F.col("title"), F.col("content"), F.col("meta_description"), max_chars))
+    lower = F.col("_lower")
+    staged = once(once(staged, _lower=F.lower("text")), primary_goal=page_goal(lower), use_cases=page_use_cases(lower))
     tagged = staged.select(
-        *docs.columns, "text", page_goal(lower).alias("primary_goal"), page_use_cases(lower).alias("use_cases"),
+        *docs.columns, "text", "primary_goal", "use_cases",
         page_complexity(lower).alias("complexity"), page_result_type(lower).alias("result_type"),
         page_ethical_signals(lower).alias("ethical_signals"), page_skill_level(lower).alias("skill_level"),
         key_phrases(lower).alias("key_phrases"),
