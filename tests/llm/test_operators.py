@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pii, quality, queries, runindex, simhash, substring, topk, warc, winnow
+from tidemark.llm import chat, components, mixing, pii, quality, queries, runindex, simhash, substring, topk, warc, winnow
 from tidemark.llm.common import table
 from tests.oracle_check import compare
 
@@ -232,6 +232,24 @@ def test_components_unsettled(spark):
         simhash.components(edges, rounds=1)
 
 
+def test_components_of_few_edges_leave_few_files(spark):
+    """Rounds over a handful of edges do not write a file for each of very many shuffle partitions."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, i) for i in range(40, 60)], "a long, b long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rounds, cut = [], components.cut_lineage
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        components.cut_lineage = lambda df: rounds.append(cut(df)) or rounds[-1]
+        roots = {r.node: r.root for r in components.components(edges).collect()}
+    finally:
+        components.cut_lineage = cut
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert roots == {i: 0 for i in range(13)} | {i: 40 for i in range(40, 60)}
+    assert len(rounds) > 4 and all(r.rdd.getNumPartitions() == 1 for r in rounds[1:])
+
+
 def brute_copies(texts, n=5):
     """component (smallest index) of each text: exact Jaccard of distinct shingles, all pairs."""
     sets = [set(simhash.shingles(t.encode(), n)) for t in texts]
