@@ -72,3 +72,28 @@ def test_overlap_join_shuffles_texts(spark):
     right = spark.createDataFrame([(1, "b  c"), (2, "x")], "k int, rt string")
     j = ranking.overlap_pairs(left, right, "k")
     assert {r.k: round(r.jaccard, 6) for r in j.collect()} == {1: 0.333333, 2: 0.0}
+
+
+def test_pagerank_splits_lists_and_keeps_multiplicity(spark, monkeypatch):
+    """Lists of targets split over parts, parallel links, null URLs and rankless ends against a plain power iteration."""
+    from collections import Counter
+
+    from tidemark.operators import graph
+
+    monkeypatch.setattr(graph, "FAN_OUT", 2)
+    links = [("hub", f"p{i % 9}") for i in range(20)] + [("p1", "hub"), ("p2", "p1"), ("p2", "p1"), ("p2", None), (None, "p3"), ("p4", "p4")]
+    nodes = {u for e in links for u in e} | {"alone"}
+    out = Counter(a for a, _ in links)
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(5):
+        flow = Counter()
+        for a, b in links:
+            if a is not None and b is not None:
+                flow[b] += rank[a] / out[a]
+        rank = {u: 0.15 / len(nodes) + 0.85 * flow[u] for u in nodes}
+    total = sum(rank.values())
+    before = {t.name for t in spark.catalog.listTables()}
+    got = graph.pagerank(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("alone",), ("p1",)], "url string"), iterations=5, tolerance=0.0)
+    got = {r.url: r["rank"] for r in got.collect()}
+    assert got.keys() == nodes and all(abs(got[u] - rank[u] / total) < 1e-12 for u in nodes)
+    assert {t.name for t in spark.catalog.listTables()} == before

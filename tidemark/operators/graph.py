@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
-from tidemark.session import cut_lineage
+from tidemark.session import bucketed, cut_lineage, stored
 
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 20, 0.001  # fixed values
+FAN_OUT, MOST_HUBS = 1 << 12, 1 << 16  # links of a page in one list, or more where over MOST_HUBS pages would have to be split
 
 
 def link_to_page(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -33,36 +36,56 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("url").agg(F.sum("o").alias("out_links"), F.sum("i").alias("in_links"))
 
 
+def _number(url: str, seed: int) -> Column:
+    """Number of a page; null for a null URL, which no edge reaches."""
+    return F.when(F.col(url).isNotNull(), F.xxhash64(F.lit(seed), F.col(url)))
+
+
 def pagerank(edges: DataFrame, pages: DataFrame | None = None, damping: float = DAMPING, iterations: int = ITERATIONS,
              tolerance: float = TOLERANCE, tol_mode: str = "sum", check_every: int = 1) -> DataFrame:
     """L3: damped rank without redistribution from pages that link nowhere, scores normalised to sum 1.
 
-    Parallel edges fold to one row with a share (multiplicity / out-degree) before the loop, so a round
-    moves one row per distinct edge. A page with very many in-links is summed by partial aggregates; a
-    page with very many out-links is split by the adaptive skew join. Every round is written to the
-    checkpoint folder, so the plan stays short and a lost executor costs one round. ``tol_mode`` "sum"
+    Pages go by numbers (64-bit hashes of the URL, taken anew with another seed should two ever be equal). The targets of a
+    page are laid out once, as one list per page and multiplicity, in the partition where the page's rank arrives, so a round
+    moves ranks to the lists and partial sums to the targets, and no edge. A page with very many in-links is summed by
+    partial aggregates; the targets of a page with very many out-links are split over several lists. Every round is written
+    to the checkpoint folder, so the plan stays short and a lost executor costs one round. ``tol_mode`` "sum"
     stops on the total change, which means the same at every size; "mean" on the mean change per page, which
     is small at once in a large graph. A tolerance of 0 runs every round without looking.
     """
-    nodes = cut_lineage(vertices(edges, pages))
-    n = nodes.count()
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("url"), F.lit(1).alias("out")),
+                                          F.struct(F.col("dst").alias("url"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    if pages is not None:
+        ends = ends.union(pages.select("url", F.lit(0).alias("out")))
+    nodes = stored(ends.groupBy("url").agg(F.sum("out").alias("out")))
+    n, named, links = nodes.agg(F.count(F.lit(1)), F.count("url"), F.sum("out")).first()
     if n == 0:
-        return nodes.withColumn("rank", F.lit(0.0))
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    shares = cut_lineage(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select(
-        "src", "dst", (F.col("m") / F.col("out")).alias("share")))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+        return nodes.select("url").withColumn("rank", F.lit(0.0))
+    seed = next(s for s in count() if nodes.agg(F.countDistinct(_number("url", s))).first()[0] == named)
+    fan = max(FAN_OUT, links // MOST_HUBS)
+    parts = F.ceil(F.col("out") / fan)
+    hubs = F.broadcast(nodes.where(F.col("out") > fan).select(_number("url", seed).alias("src"), parts.alias("parts")))  # at most MOST_HUBS rows
+    pairs = edges.select(_number("src", seed).alias("src"), _number("dst", seed).alias("dst")).dropna()
+    pairs = pairs.join(hubs, "src", "left").select("src", F.coalesce(F.pmod("dst", "parts"), F.lit(0)).alias("part"), "dst")
+    lists = pairs.repartition(width, "src", "part").groupBy("src", "part", "dst").agg(F.count(F.lit(1)).alias("m"))
+    lists, table = bucketed(lists.groupBy("src", "part", "m").agg(F.collect_list("dst").alias("dsts")), width, "src", "part")
+    ranks = nodes.select(_number("url", seed).alias("id"), "out", F.lit(1.0 / n).alias("rank"))
+    ranks = cut_lineage(ranks)
     for step in range(1, iterations + 1):
-        flow = shares.join(ranks, shares.src == ranks.url).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        moved = ranks.join(flow, ranks.url == flow.dst, "left").select(
-            "url", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank"))
-        moved = cut_lineage(moved)
-        ranks = moved.select("url", "rank")
+        sent = ranks.where(F.col("out") > 0).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), (F.col("rank") / F.col("out")).alias("each"))
+        flow = lists.join(sent.hint("shuffle_hash"), ["src", "part"]).select(F.explode("dsts").alias("dst"), (F.col("each") * F.col("m")).alias("each"))
+        flow = flow.groupBy("dst").agg(F.sum("each").alias("flow"))
+        moved = cut_lineage(ranks.join(flow, ranks.id == flow.dst, "left").select(
+            "id", "out", F.col("rank").alias("old"), (F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("flow", F.lit(0.0))).alias("rank")))
+        ranks = moved.select("id", "out", "rank")
         if tolerance > 0 and step % check_every == 0:
             change = moved.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"]
             if (change / n if tol_mode == "mean" else change) < tolerance:
                 break
+    edges.sparkSession.sql(f"DROP TABLE {table}")
     total = ranks.agg(F.sum("rank").alias("t")).scalar()
+    ranks = nodes.select("url", _number("url", seed).alias("id")).join(ranks.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")))
     return ranks.select("url", F.when(total > 0, F.col("rank") / total).otherwise(F.col("rank")).alias("rank"))
 
 

@@ -63,6 +63,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, parts: int, *columns: str) -> tuple[DataFrame, str]:
+    """A frame stored like ``stored``, dealt to buckets, so that joins by the columns leave it where it is; and its table's name,
+    to be dropped after the last use."""
+    import uuid
+
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, *columns).option("path", shared_folder(df.sparkSession, "bucketed")).saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """A frame with further columns that are computed a single time per row, however often later expressions and filters name them.
 
