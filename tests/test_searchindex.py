@@ -103,3 +103,42 @@ def test_empty(spark):
     none = spark.createDataFrame([], COLUMNS)
     blocks = searchindex.seal(searchindex.impacts(searchindex.postings(searchindex.with_phrases(none))))
     assert searchindex.search(spark.createDataFrame([("red",)], "query string"), blocks, 2).count() == 0
+
+
+def test_tasks_follow_the_number_of_postings(spark, monkeypatch):
+    """No join deals postings by their field (a handful of keys), and more postings get more tasks, not larger ones."""
+    monkeypatch.setattr(searchindex, "TASK_PAGES", 10, raising=False)
+    monkeypatch.setattr(searchindex, "TASK_POSTINGS", 100, raising=False)
+    rows = [(i, f"http://h.example/{i}", f"t{i} t{i + 1}", f"c{i} d{i} e{i} red", None) for i in range(150)]
+    postings = searchindex.postings(searchindex.with_phrases(spark.createDataFrame(rows, COLUMNS))).cache()
+    impacts = searchindex.impacts(postings)
+    plan = impacts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(field" not in plan.split("BroadcastExchange")[0]
+    tasks = [n for n, in impacts.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(tasks) > 8 and max(tasks) < 400 and sum(tasks) == impacts.count()
+    assert len({p for p, in postings.select(F.spark_partition_id()).distinct().collect()}) > 8
+    postings.unpersist()
+
+
+def test_search_reads_blocks_once(spark, monkeypatch):
+    monkeypatch.setattr(searchindex, "RANGE_PAGES", 8)
+    rows = pages(60, 5)
+    blocks = searchindex.seal(searchindex.impacts(searchindex.postings(searchindex.with_phrases(spark.createDataFrame(rows, COLUMNS))))).cache()
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    got = found(searchindex.search(spark.createDataFrame([("red blue",), ("deep",)], "query string"), blocks.mapInArrow(count, blocks.schema), 3, first=1).collect())
+    want = full_sum(rows, ["red blue", "deep"], 3)
+    assert calls.value == blocks.count() and {q: [p for p, _ in v] for q, v in got.items()} == {q: [p for p, _ in v] for q, v in want.items()}
+    blocks.unpersist()
+
+
+def test_repeated_page_counts_once(spark):
+    """Two equal rows of a page give one posting per term, with the sum of their counts."""
+    rows = spark.createDataFrame([(1, "u", "red", "blue blue", None)] * 2, COLUMNS)
+    got = {(r.term, r.field): (r.length, r.tf) for r in searchindex.postings(rows, ("title", "content")).collect()}
+    assert got == {("red", "title"): (1, 2), ("blue", "content"): (2, 4)}

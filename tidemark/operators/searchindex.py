@@ -11,19 +11,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab
 from tidemark.operators import ordered
 from tidemark.operators import pages as pg
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, parts_for, stored
 
 FIELDS = ("title", "content", "meta_description", "url", "phrases")
 BOOSTS = {"title": 2.0}  # fixed value; other fields count once
 RANGE_PAGES = 256  # pages whose postings share a block
 FIRST_RANGES = 4  # blocks of pages opened before the bound is known
 SLACK = 1e-6  # scores are rounded to six places
+TASK_PAGES = 2048  # pages, and postings, that a task sorts or groups at a time
+TASK_POSTINGS = 500_000
 POSTINGS = "term STRING, page_id BIGINT, field STRING, length INT, tf BIGINT"
 
 
@@ -40,9 +42,14 @@ def with_phrases(pages: DataFrame) -> DataFrame:
 
 
 def postings(pages: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """One row per term, page and field, with its count and the field's length in terms."""
+    """One row per term, page and field, with its count and the field's length in terms.
+
+    Pages are dealt to as many tasks as their number needs, and their words are counted where they are.
+    """
+    parts = parts_for(pages.sparkSession, pages.count(), TASK_PAGES)
     items = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), unicode_terms(F.col(f)).alias("terms")) for f in fields])).alias("i")
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), items).select("page_id", "i.field", F.size("i.terms").alias("length"), F.explode("i.terms").alias("term"))
+    dealt = pages.select(F.col("page_id").cast("bigint").alias("page_id"), *fields).repartition(parts, "page_id")
+    rows = dealt.select("page_id", items).select("page_id", "i.field", F.size("i.terms").alias("length"), F.explode("i.terms").alias("term"))
     return rows.groupBy("term", "page_id", "field", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -94,15 +101,20 @@ def merge_segments(spark: SparkSession, path: str, segments: list[int], removals
 
 # ---------------------------------------------------------------- search
 def impacts(postings_: DataFrame) -> DataFrame:
-    """Score of each term in each page: BM25 of every field with its boost, summed over fields."""
-    counts = cut_lineage(postings_)
-    stats = counts.select("page_id", "field", "length").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
-    df = counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    """Score of each term in each page: BM25 of every field with its boost, summed over fields.
+
+    The postings are read three times: pass stored ones. They move once, to as many tasks as their number needs, where a term's
+    document frequencies are counted beside its postings.
+    """
+    parts = parts_for(postings_.sparkSession, postings_.count(), TASK_POSTINGS)
+    stats = postings_.select("page_id", "field", "length").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("avg_length"))
+    counts = postings_.repartition(parts, "term").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term", "field")))
     k1, b = vocab.BM25_K1, vocab.BM25_B
     idf = F.log(F.lit(1.0) + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (F.lit(1.0) - b + F.lit(b) * F.col("length") / F.col("avg_length")))
     boost = F.coalesce(*[F.when(F.col("field") == f, x) for f, x in BOOSTS.items()], F.lit(1.0))
-    return counts.join(df, ["field", "term"]).join(stats, "field").groupBy("term", "page_id").agg(F.sum(idf * norm * boost).alias("impact"))
+    # the statistics have one row per field
+    return counts.join(F.broadcast(stats), "field").groupBy("term", "page_id").agg(F.sum(idf * norm * boost).alias("impact"))
 
 
 def seal(impacts_: DataFrame) -> DataFrame:
@@ -115,15 +127,21 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, first: int = FIRST_RAN
     """The k best pages of every query (column query) that hold any of its terms, ties to the smaller page_id.
 
     The result is that of the full sum. A query's bound on a range of pages is the sum of its terms' block maxima there.
-    Equal queries are searched once.
+    Equal queries are searched once. Blocks are read once, for the terms that are asked for.
     """
     queries = cut_lineage(queries)
     terms = queries.select("query").distinct().select("query", F.explode(F.array_distinct(unicode_terms(F.col("query")))).alias("term"))
-    bounds = cut_lineage(terms.join(blocks.select("term", "range", "top"), "term").groupBy("query", "range").agg(F.sum("top").alias("bound")))
+    # a table of the asked terms is built in each task; the blocks stream by it unsorted
+    asked = stored(blocks.join(terms.select("term").distinct().hint("shuffle_hash"), "term", "left_semi"))
+    bounds = cut_lineage(terms.join(asked.select("term", "range", "top", F.size("entries").alias("n")), "term").groupBy("query", "range").agg(
+        F.sum("top").alias("bound"), F.sum("n").alias("n")))
+    parts = parts_for(queries.sparkSession, bounds.agg(F.sum("n")).first()[0] or 0, TASK_POSTINGS)
 
     def opened(ranges: DataFrame) -> DataFrame:
-        entries = ranges.select("query", "range").join(terms, "query").join(blocks.select("term", "range", "entries"), ["term", "range"])
-        scores = entries.select("query", F.explode("entries").alias("e")).groupBy("query", F.col("e.page_id").alias("page_id")).agg(F.round(F.sum("e.impact"), 6).alias("score"))
+        entries = ranges.select("query", "range").join(terms, "query").join(asked.select("term", "range", "entries"), ["term", "range"])
+        dealt = entries.select("query", "range", "entries").repartition(parts, "query", "range")
+        scores = dealt.select("query", "range", F.explode("entries").alias("e")).groupBy("query", "range", F.col("e.page_id").alias("page_id")).agg(
+            F.round(F.sum("e.impact"), 6).alias("score")).drop("range")
         return ordered.top_k(scores, ["query"], [F.col("score").desc(), F.col("page_id")], k)
 
     start = ordered.top_k(bounds, ["query"], [F.col("bound").desc(), F.col("range")], first).drop("rank")

@@ -14,7 +14,7 @@ from tidemark.plans.intent import ethics, listed
 from tidemark.plans.pages import TOPIC_WORDS, part
 from tidemark.plans.registry import cte, query
 from tidemark.plans.scoring import intents
-from tidemark.session import cut_lineage, shared_folder
+from tidemark.session import cut_lineage, shared_folder, stored
 
 TERMS = f"list_filter(list_transform(regexp_extract_all({{x}}, '[A-Za-z]+'), lambda w: lower(w)), lambda w: NOT list_contains({sql_list(vocab.INDEX_STOP_WORDS)}, w))"
 cte("field_terms", f"""
@@ -92,7 +92,8 @@ SELECT query, page_id, score, rank FROM (
 
 @query("keyword_search", "WITH p AS (SELECT * FROM index_postings)," + SCORED)
 def _(t):
-    blocks = cut_lineage(searchindex.seal(searchindex.impacts(searchindex.postings(searchindex.with_phrases(parsed(t))))))
+    postings = stored(searchindex.postings(searchindex.with_phrases(parsed(t))))
+    blocks = stored(searchindex.seal(searchindex.impacts(postings)))
     return searchindex.search(searches(t), blocks, 10).select("query", "page_id", "score", "rank")
 
 
@@ -106,7 +107,7 @@ def _(t):
     searchindex.write_segment(p.where("page_id % 3 = 0"), path, 1)
     searchindex.write_tombstones(p.where("page_id % 5 = 0"), path, 2)
     kept = searchindex.merge_segments(t.spark, path, [0, 1], [2], 3)
-    blocks = cut_lineage(searchindex.seal(searchindex.impacts(searchindex.live_postings(t.spark, path, kept))))
+    blocks = stored(searchindex.seal(searchindex.impacts(searchindex.live_postings(t.spark, path, kept))))
     return searchindex.search(searches(t), blocks, 10).select("query", "page_id", "score", "rank")
 
 

@@ -63,6 +63,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows: the session's shuffle partitions, or more where a task would get more than ``each`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def bucketed(df: DataFrame, parts: int, *columns: str) -> tuple[DataFrame, str]:
     """A frame stored like ``stored``, dealt to buckets, so that joins by the columns leave it where it is; and its table's name,
     to be dropped after the last use."""
