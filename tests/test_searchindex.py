@@ -137,6 +137,14 @@ def test_search_reads_blocks_once(spark, monkeypatch):
     blocks.unpersist()
 
 
+def test_one_segment_is_read_without_a_join(spark, tmp_path):
+    rows = pages(20, 6)
+    searchindex.write_segment(spark.createDataFrame(rows, COLUMNS), f"{tmp_path}/i", 0)
+    live = searchindex.live_postings(spark, f"{tmp_path}/i", [0])
+    assert "Join" not in live._jdf.queryExecution().executedPlan().toString()
+    check(spark, live, rows, 4)
+
+
 def test_repeated_page_counts_once(spark):
     """Two equal rows of a page give one posting per term, with the sum of their counts."""
     rows = spark.createDataFrame([(1, "u", "red", "blue blue", None)] * 2, COLUMNS)

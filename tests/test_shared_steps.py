@@ -97,3 +97,14 @@ def test_pagerank_splits_lists_and_keeps_multiplicity(spark, monkeypatch):
     got = {r.url: r["rank"] for r in got.collect()}
     assert got.keys() == nodes and all(abs(got[u] - rank[u] / total) < 1e-12 for u in nodes)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_links_of_odd_markup(spark):
+    """Each way of quoting, and links cut by comments, scripts and a missing end."""
+    html = ("""<a href="/one">One</a><A class='x' HREF='/two'>T<b>w</b>o</A><a href=/three>Three</a><a href="/it's">Own</a>"""
+            """<!-- <a href="/no">No</a> --><script>"<a href='/no'>No</a>"</script><a href="">Here</a><a data-x="1" href = "/a&amp;b">A &amp; B</a><a href="/open">Open""")
+    rows = spark.createDataFrame([(1, "http://h.example/p/", html), (2, "http://h.example/", None)], "page_id bigint, url string, html string")
+    got = {(r.target_url, r.anchor_text) for r in pg.extract_links(rows).collect()}
+    base = "http://h.example"
+    assert got >= {(f"{base}/one", "One"), (f"{base}/two", "Two"), (f"{base}/three", "Three"), (f"{base}/it's", "Own"), (f"{base}/a&b", "A & B")}
+    assert not any(a in ("No", "Open") for _, a in got) and len(got) == 6

@@ -134,10 +134,11 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """Crawlable links of each page, resolved against the page, with their anchor text."""
     pattern = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
     seen = F.regexp_replace(F.regexp_replace("html", r"(?s)<!--.*?-->", ""), r"(?is)<script[^>]*>.*?</script>", "")
-    quoted, single, bare, anchor = (F.regexp_extract_all("seen", F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4))
-    href = F.zip_with(F.zip_with(quoted, single, lambda a, b: F.concat(a, b)), bare, lambda a, b: F.concat(a, b))  # two of the three are empty
-    both = F.arrays_zip(href.alias("href"), anchor.alias("anchor"))
-    links = pages.withColumn("seen", seen).select("page_id", "url", F.explode(both).alias("l")).select(
+    # the page is searched once; the groups are then read from each link
+    found = pages.select("page_id", "url", F.explode(F.regexp_extract_all(seen, F.lit(pattern), F.lit(0))).alias("a"))
+    quoted, single, bare, anchor = (F.regexp_extract("a", pattern, i) for i in (1, 2, 3, 4))
+    both = F.struct(F.concat(quoted, single, bare).alias("href"), anchor.alias("anchor"))  # two of the three are empty
+    links = found.select("page_id", "url", both.alias("l")).select(
         F.col("page_id").alias("source_page_id"), F.col("url").alias("source_url"),
         resolve(F.col("url"), unescape(F.col("l.href"))).alias("target_url"),
         F.trim(unescape(F.regexp_replace("l.anchor", r"<[^>]+>", ""))).alias("anchor_text"))

@@ -84,10 +84,13 @@ def _part(spark: SparkSession, path: str, name: str, schema: str, segments: list
 def live_postings(spark: SparkSession, path: str, segments: list[int], removals: list[int] = ()) -> DataFrame:
     """Postings that count: each page's from its newest segment, unless a removal of the same or a later number names it.
     ``segments`` and ``removals`` are the numbers of the segments with pages and with tombstones."""
+    if len(segments) == 1 and not removals:  # nothing replaces or removes a page
+        return _part(spark, path, "postings", POSTINGS, segments).drop("segment")
     newest = _part(spark, path, "pages", "page_id BIGINT", segments).groupBy("page_id").agg(F.max("segment").alias("segment"))
     gone = _part(spark, path, "removed", "page_id BIGINT", list(removals)).groupBy("page_id").agg(F.max("segment").alias("gone"))
     newest = newest.join(gone, "page_id", "left").where(F.col("gone").isNull() | (F.col("gone") < F.col("segment"))).select("page_id", "segment")
-    return _part(spark, path, "postings", POSTINGS, segments).join(newest, ["page_id", "segment"]).select("term", "page_id", "field", "length", "tf")
+    # a table of pages is built in each task; the postings stream by it unsorted
+    return _part(spark, path, "postings", POSTINGS, segments).join(newest.hint("shuffle_hash"), ["page_id", "segment"]).select("term", "page_id", "field", "length", "tf")
 
 
 def merge_segments(spark: SparkSession, path: str, segments: list[int], removals: list[int], into: int) -> list[int]:

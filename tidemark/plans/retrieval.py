@@ -101,7 +101,7 @@ def _(t):
 @query("segmented_search", "WITH p AS (SELECT * FROM index_postings WHERE page_id % 5 <> 0)," + SCORED)
 def _(t):
     path = shared_folder(t.spark, "segments")
-    p = cut_lineage(parsed(t))
+    p = stored(parsed(t))
     stale = p.withColumn("title", F.when(F.col("page_id") % 3 == 0, F.lit("an old title")).otherwise(F.col("title")))
     searchindex.write_segment(stale, path, 0)
     searchindex.write_segment(p.where("page_id % 3 = 0"), path, 1)
