@@ -120,8 +120,10 @@ def test_tasks_follow_the_number_of_postings(spark, monkeypatch):
     postings.unpersist()
 
 
-def test_search_reads_blocks_once(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 100])
+def test_search_reads_blocks_once(spark, monkeypatch, few):
     monkeypatch.setattr(searchindex, "RANGE_PAGES", 8)
+    monkeypatch.setattr(searchindex, "BROADCAST_LIMIT_ROWS", few, raising=False)
     rows = pages(60, 5)
     blocks = searchindex.seal(searchindex.impacts(searchindex.postings(searchindex.with_phrases(spark.createDataFrame(rows, COLUMNS))))).cache()
     calls = spark.sparkContext.accumulator(0)

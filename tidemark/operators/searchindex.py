@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vocab
 from tidemark.operators import ordered
 from tidemark.operators import pages as pg
-from tidemark.session import cut_lineage, parts_for, stored
+from tidemark.session import BROADCAST_LIMIT_ROWS, cut_lineage, parts_for, stored
 
 FIELDS = ("title", "content", "meta_description", "url", "phrases")
 BOOSTS = {"title": 2.0}  # fixed value; other fields count once
@@ -134,8 +134,10 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, first: int = FIRST_RAN
     """
     queries = cut_lineage(queries)
     terms = queries.select("query").distinct().select("query", F.explode(F.array_distinct(unicode_terms(F.col("query")))).alias("term"))
-    # a table of the asked terms is built in each task; the blocks stream by it unsorted
-    asked = stored(blocks.join(terms.select("term").distinct().hint("shuffle_hash"), "term", "left_semi"))
+    # the asked terms go to the blocks while they are few; else a table of them is built in each task. The blocks stream by it unsorted
+    words = cut_lineage(terms.select("term").distinct())
+    words = words.hint("broadcast" if words.count() <= BROADCAST_LIMIT_ROWS else "shuffle_hash")
+    asked = stored(blocks.join(words, "term", "left_semi"))
     bounds = cut_lineage(terms.join(asked.select("term", "range", "top", F.size("entries").alias("n")), "term").groupBy("query", "range").agg(
         F.sum("top").alias("bound"), F.sum("n").alias("n")))
     parts = parts_for(queries.sparkSession, bounds.agg(F.sum("n")).first()[0] or 0, TASK_POSTINGS)
