@@ -56,7 +56,7 @@ def merge_results(results: DataFrame) -> DataFrame:
 
 def content_dedup(results: DataFrame, threshold: float = DEDUP_JACCARD) -> DataFrame:
     """Drop a result whose word set resembles that of an earlier kept one of the same query."""
-    return dedup.greedy_jaccard(results.withColumn("_words", word_set(F.col("content"))), "query_id", "row_id", "_words", threshold).drop("_words")
+    return dedup.greedy_jaccard(results, "query_id", "row_id", word_set(F.col("content")), threshold)
 
 
 def normalise_scores(results: DataFrame, method: str = "minmax", score: str = "best_score") -> DataFrame:
