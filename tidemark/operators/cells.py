@@ -13,14 +13,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
 from tidemark.session import cut_lineage
 
-BLOCK_ROWS = 4096  # vectors, or queries, that meet in one task
+BLOCK_ROWS = 4096  # vectors, or queries, that meet in one task at least
+WIDE = 16  # a block may have so many times BLOCK_ROWS rows
+HELD_VALUES = 1 << 22  # but not more than so many numbers, unless BLOCK_ROWS rows have more
 SCORED_ROWS = 512  # queries of a block that are scored at once
+TILE_ROWS = 2048  # with so many vectors
 ASKED_ROWS = 1 << 15  # rows that one query batch sends on at once
 SAMPLE = 65_536  # vectors the centroids are trained on, at most
 MAX_CELLS = 1024
@@ -48,19 +51,154 @@ def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[few], col[few]
 
 
+def matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix of unit vectors; a zero vector stays zero."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    if not len(lists):
+        return np.zeros((0, 0))
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if (size != size[0]).any():
+        raise ValueError("vectors differ in length")
+    m = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), int(size[0]))
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def exact_scores(x: np.ndarray, y: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Rounded scores of pairs of rows, a bounded number at a time."""
+    step, out = max(1, HELD_VALUES // 4 // max(1, x.shape[1])), np.zeros(len(row))
+    for at in range(0, len(row), step):
+        out[at:at + step] = np.einsum("ij,ij->i", x[row[at:at + step]], y[col[at:at + step]])
+    return np.round(out, 6)
+
+
+def first_of_rows(row: np.ndarray, order: Sequence[np.ndarray], k: int) -> np.ndarray:
+    """Places of the k first entries of each row by the keys of ``order``, most important first; sorted by row."""
+    at = np.lexsort((*reversed(order), row))
+    held = row[at]
+    return at[np.arange(len(held)) - np.searchsorted(held, held) < k]
+
+
+def first_of_crowd(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k highest rounded scores of each row, ties to the smaller column, in any order: scores of six
+    places and columns make one whole number."""
+    n = scores.shape[1]
+    whole = np.rint(scores * 1e6).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+    k = min(k, n)
+    return np.repeat(np.arange(len(scores)), k), np.argpartition(whole, n - k, axis=1)[:, n - k:].ravel()
+
+
+def reached_by(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that k scores reach at least: the k-th highest of the maxima of groups of columns."""
+    groups = max(8 * k, 64)
+    size = scores.shape[1] // groups
+    if not size:
+        groups, size = scores.shape[1], 1
+    if groups < k:
+        return np.full(len(scores), -np.inf, np.float32)
+    highest = scores[:, :groups * size].reshape(len(scores), size, groups).max(axis=1)
+    return np.partition(highest, groups - k, axis=1)[:, groups - k]
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each row of unit vectors, ties to the smaller column; with ``floor`` only scores that reach it.
+
+    Single precision finds the pairs that may be among the best, by a bound on its error, and double precision settles them.
+    """
+    error = (x.shape[1] + 8) * 2.0 ** -24
+    margin, found = 2 * error + 2e-6, []
+    plain = not (np.isfinite(x).all() and np.isfinite(y).all())
+    narrow_y = y.astype(np.float32)
+    many = 8 * k + 64
+    scored, reached = (np.empty(SCORED_ROWS * TILE_ROWS, kind) for kind in (np.float32, bool))
+    for at in range(0, len(x), SCORED_ROWS):
+        wide = x[at:at + SCORED_ROWS]
+        if plain:
+            scores = np.round(wide @ y.T, 6)
+            row, col = best_of(np.where(np.isnan(scores), -np.inf, scores), k)
+            value = scores[row, col]
+        else:
+            q = wide.astype(np.float32)
+            low = np.full(len(q), -np.inf, np.float32)
+            if floor is not None:
+                low = np.where(np.isnan(floor[at:at + SCORED_ROWS]), -np.inf, floor[at:at + SCORED_ROWS] - margin).astype(np.float32)
+            rows, cols, near, tidy = [], [], [], 2
+            for n, start in enumerate(range(0, len(y), TILE_ROWS), 1):
+                tile = narrow_y[start:start + TILE_ROWS]
+                s, hit = (b[:len(q) * len(tile)].reshape(len(q), len(tile)) for b in (scored, reached))
+                np.matmul(q, tile.T, out=s)
+                if n == 1 and not np.isfinite(low).all():
+                    low = np.maximum(low, reached_by(s, k) - np.float32(margin))
+                np.greater_equal(s, low[:, None], out=hit)
+                crowd = best = place = np.zeros(0, np.int64)
+                if np.count_nonzero(hit) > many:
+                    crowd = np.flatnonzero(np.count_nonzero(hit, axis=1) > many)
+                if len(crowd):  # many equals: the k best of the tile are settled at once
+                    best, place = first_of_crowd(wide[crowd] @ y[start:start + TILE_ROWS].T, k)
+                    hit[crowd] = False
+                r, c = np.divmod(np.flatnonzero(hit), s.shape[1])
+                r, c = np.concatenate([r, crowd[best]]), np.concatenate([c, place])
+                rows.append(r), cols.append(c + start), near.append(s[r, c])
+                if n == tidy and start + TILE_ROWS < len(y):
+                    tidy *= 2
+                    row, col, value = (np.concatenate(p) for p in (rows, cols, near))
+                    last = first_of_rows(row, [-value], k)
+                    full = np.bincount(row[last], minlength=len(q)) == k
+                    kth = np.full(len(q), np.inf, np.float32)
+                    np.minimum.at(kth, row[last], value[last])
+                    low = np.maximum(low, np.where(full, kth - np.float32(margin), -np.inf)).astype(np.float32)
+                    rest = value >= low[row]
+                    rows, cols, near = [row[rest]], [col[rest]], [value[rest]]
+            row, col = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (rows, cols))
+            value = exact_scores(wide, y, row, col)
+            best = first_of_rows(row, [-value, col], k)
+            row, col, value = row[best], col[best], value[best]
+        if floor is not None:
+            reach = ~(value < floor[at + row])
+            row, col, value = row[reach], col[reach], value[reach]
+        found.append((row + at, col, value))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
 def nearest_in_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     if len(queries) == 0 or len(vectors) == 0:
         return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})
     vectors = vectors.sort_values("vec_id", ignore_index=True)
-    x, y, found = unit_rows(queries["embedding"]), unit_rows(vectors["embedding"]), []
-    for at in range(0, len(x), SCORED_ROWS):
-        scores = np.round(x[at:at + SCORED_ROWS] @ y.T, 6)
-        row, col = best_of(np.where(np.isnan(scores), -np.inf, scores), k)
-        found.append((row + at, col, scores[row, col]))
-    row, col, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    row, col, score = best_pairs(unit_rows(queries["embedding"]), unit_rows(vectors["embedding"]), k)
     return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "vec_id": vectors["vec_id"].to_numpy()[col], "score": score})
 
 
+def nearest_in_tables(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
+    """The k best vectors (query_id, vec_id, score) of every query of a block; with a column floor, those that reach it."""
+    names, row, col, score = ["query_id", "vec_id", "score"], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if queries.num_rows and vectors.num_rows:
+        vectors = vectors.sort_by("vec_id")
+        floor = queries["floor"].to_numpy() if "floor" in queries.column_names else None
+        row, col, score = best_pairs(matrix(queries["embedding"]), matrix(vectors["embedding"]), k, floor)
+    return pa.table([pa.array(queries["query_id"].to_numpy()[row], pa.int64()), pa.array(vectors["vec_id"].to_numpy()[col], pa.int64()), pa.array(score, pa.float64())], names=names)
+
+
+def most_rows(dims: int, least: int) -> int:
+    """Rows of the largest block of vectors of so many dimensions."""
+    return least * max(1, min(WIDE, HELD_VALUES // (least * max(1, dims))))
+
+
+def block_counts(queries: int, vectors: int, dims: int, tasks: int, least: int) -> tuple[int, int]:
+    """Blocks of queries and of vectors: as few as their largest size allows, as each row goes to all blocks of the other
+    side, but so many that there is work for all tasks."""
+    per = [max(1, min(n, most_rows(dims, least))) for n in (queries, vectors)]
+    blocks = lambda: [max(1, -(-n // p)) for n, p in zip((queries, vectors), per, strict=True)]
+    while blocks()[0] * blocks()[1] < tasks and max(per) > least:
+        i = per.index(max(per))
+        per[i] = max(least, -(-per[i] // 2))
+    return blocks()[0], blocks()[1]
+
+
+def tasks_wanted(spark: SparkSession) -> int:
+    """Blocks that keep all cores at work: some for each core, as they end at different times."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def asked_parts(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The queries ``row`` of a batch once for every part of the cells they open, in batches of about ASKED_ROWS rows."""
     step = max(1, ASKED_ROWS // max(1, int(parts.max())))

@@ -117,21 +117,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_rows: int
     """V2: exact k nearest vectors by cosine for every query vector.
 
     Both sides are cut into blocks of bounded size by hash. Each block of queries meets each block of
-    vectors in one task, which multiplies two small matrices and returns only its k best per query; the
+    vectors in one task, which multiplies matrices a tile at a time and returns only its k best per query; the
     k best of the blocks are merged at the end. No side is broadcast or collected, no pair is written
-    out, and a block never grows with the data: the number of blocks does. ``query_rows`` and
-    ``vector_rows`` are the row counts, if known; else they are counted.
+    out, and a block never grows with the data beyond its bound: the number of blocks does. ``query_rows`` and
+    ``vector_rows`` are the row counts, if known; else they are counted. Null embeddings are left out.
 
     queries: query_id, embedding. vectors: vec_id, embedding.
     """
-    n_q = max(1, -(-(query_rows or queries.count()) // BLOCK_ROWS))
-    n_v = max(1, -(-(vector_rows or vectors.count()) // BLOCK_ROWS))
+    queries, vectors = (d.where("embedding IS NOT NULL") for d in (queries, vectors))
+    sample = vectors.select(F.size("embedding")).first()
+    n_q, n_v = cells.block_counts(query_rows or queries.count(), vector_rows or vectors.count(), sample[0] if sample else 1, cells.tasks_wanted(queries.sparkSession), BLOCK_ROWS)
     left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"),
                           F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>")).alias("vb"))
     right = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).alias("vb"),
                            F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")).alias("qb"))
-    blocks = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(
-        lambda a, b: cells.nearest_in_block(a, b, k), cells.FOUND)
+    # more tasks than pairs of blocks, so that hardly any task gets several
+    left, right = (d.repartition(2 * n_q * n_v, "qb", "vb") for d in (left, right))
+    blocks = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(
+        lambda a, b: cells.nearest_in_tables(a, b, k), cells.FOUND)
     return ordered.top_k(blocks, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
