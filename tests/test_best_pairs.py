@@ -55,3 +55,16 @@ def test_no_block_beyond_its_bound():
         q, v = cells.block_counts(n, n, dims, 48, 4096)
         rows = -(-n // q), -(-n // v)
         assert max(rows) * dims <= max(cells.HELD_VALUES, 4096 * dims) and (q * v >= 48 or max(rows) <= 4096)
+
+
+@pytest.mark.parametrize("wide", [16, 1])
+def test_cells_of_several_parts(spark, monkeypatch, wide):
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(cells, "WIDE", wide, raising=False)
+    v = np.random.default_rng(8).normal(size=(300, 5)).round(1)
+    v[50:90] = v[0]
+    frame = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    index = cells.build_cells(frame, 4)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in cells.cell_topk(frame.withColumnRenamed("vec_id", "query_id"), index, 4, probes=1).collect()}
+    n = cells.unit_rows(np.float32(v))
+    assert got == {(i, at % 4 + 1): j for at, (i, j, _) in enumerate(plain(n, n, 4))}

@@ -207,8 +207,8 @@ def asked_parts(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, parts:
         at = np.repeat(np.arange(len(r)), parts[c])
         part = np.arange(len(at)) - np.repeat(np.cumsum(parts[c]) - parts[c], parts[c])
         take = pa.array(r[at])
-        yield pa.RecordBatch.from_arrays([batch["query_id"].take(take), batch["embedding"].take(take), batch["qb"].take(take),
-                                          pa.array(c[at].astype(np.int32)), pa.array(part.astype(np.int32))], names=["query_id", "embedding", "qb", "cell", "part"])
+        yield pa.RecordBatch.from_arrays([*[batch[n].take(take) for n in batch.schema.names], pa.array(c[at].astype(np.int32)), pa.array(part.astype(np.int32))],
+                                         names=[*batch.schema.names, "cell", "part"])
 
 
 def train_centroids(vectors: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
@@ -250,7 +250,7 @@ def build_cells(vectors: DataFrame, cells: int = 64, sample: int = SAMPLE) -> Ce
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unit_rows(batch["embedding"].to_pylist())
+            x = matrix(batch["embedding"])
             near = x @ centroids.T if len(centroids) and len(x) else np.zeros((len(x), 1))
             cell = near.argmax(1) if len(x) else np.array([], np.int64)
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(cell.astype(np.int32)), pa.array(near[np.arange(len(x)), cell])],
@@ -260,7 +260,8 @@ def build_cells(vectors: DataFrame, cells: int = 64, sample: int = SAMPLE) -> Ce
     placed = cut_lineage(vectors.mapInArrow(place, f"vec_id bigint, embedding {kind}, cell int, near double"))
     sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).collect()}
     many = max(1, len(centroids))
-    parts = [-(-sizes[c]["n"] // BLOCK_ROWS) if c in sizes else 0 for c in range(many)]
+    most = most_rows(centroids.shape[1], BLOCK_ROWS)
+    parts = [-(-sizes[c]["n"] // most) if c in sizes else 0 for c in range(many)]
     widest = np.array([sizes[c]["near"] if c in sizes else 1.0 for c in range(many)])
     part = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.get(F.array(*[F.lit(p) for p in parts]), F.col("cell")))).cast("int")
     return CellIndex(centroids, placed.select("cell", part.alias("part"), "vec_id", "embedding"), parts, widest)
@@ -270,24 +271,27 @@ def cell_topk(queries: DataFrame, index: CellIndex, k: int, probes: int = 4, exa
     """V2: query_id, vec_id, score, rank: the k nearest vectors by cosine, ties to the smaller id.
 
     ``queries`` has query_id, embedding. With ``exact`` the result is that of ``vector_topk``; without, that of the ``probes``
-    nearest cells. A query meets a cell's part in one task, queries of a busy cell in blocks of BLOCK_ROWS.
+    nearest cells. A query meets a cell's part in one task, queries of a busy cell in blocks.
     """
     centroids, parts, widest = index.centroids, np.array(index.parts), index.widest
+    spark = queries.sparkSession
     if not len(centroids):
-        return queries.sparkSession.createDataFrame([], FOUND + ", rank int")
+        return spark.createDataFrame([], FOUND + ", rank int")
     queries = queries.where("embedding IS NOT NULL").select("query_id", "embedding")
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    tasks = tasks_wanted(spark)
+    blocks = block_counts(queries.count(), 1, centroids.shape[1], -(-tasks // max(1, int(parts.sum()))), BLOCK_ROWS)[0]
+    queries = queries.withColumns({"floor": F.lit(float("nan")), "qb": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")})
     kind = queries.schema["embedding"].dataType.simpleString()
-    schema = f"query_id bigint, embedding {kind}, qb int, cell int, part int"
+    meet, groups = ["cell", "part", "qb"], 2 * max(tasks, blocks * int(parts.sum()))
 
-    def ask(bounded: bool):
+    def ask(bounded: bool, rows: bool):
+        """The queries once for every part of the cells that they open, or the different (qb, cell, part) of these alone."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = unit_rows(batch["embedding"].to_pylist())
-                near = x @ centroids.T
+                near = matrix(batch["embedding"]) @ centroids.T
                 near[:, parts == 0] = -2.0
                 row, cell = best_of(near, probes)
                 if bounded:
@@ -296,24 +300,32 @@ def cell_topk(queries: DataFrame, index: CellIndex, k: int, probes: int = 4, exa
                     left = (np.isnan(floor)[:, None] | (reach >= floor[:, None] - SLACK)) & (parts > 0)[None, :]
                     left[row, cell] = False
                     row, cell = np.nonzero(left)
-                yield from asked_parts(batch, row, cell, parts)
+                if rows:
+                    yield from asked_parts(batch, row, cell, parts)
+                    continue
+                pairs = set(zip(batch["qb"].to_numpy()[row].tolist(), cell.tolist(), strict=True)) - seen
+                seen |= pairs
+                new = [(b, c, p) for b, c in pairs for p in range(parts[c])]
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32()) for v in zip(*new, strict=True)], names=["qb", "cell", "part"])
 
         return run
 
-    def search(asked: DataFrame) -> DataFrame:
+    def search(wanting: DataFrame, bounded: bool) -> DataFrame:
         # lists go to the blocks of queries that ask for them, and only to those
-        wanted = asked.select("cell", "part", "qb").distinct()
-        lists = index.lists.join(wanted, ["cell", "part"]).select(*[F.col(c).alias(c) for c in ("cell", "part", "qb", "vec_id", "embedding")])
-        found = asked.groupBy("cell", "part", "qb").cogroup(lists.groupBy("cell", "part", "qb")).applyInPandas(lambda a, b: nearest_in_block(a, b, k), FOUND)
+        asked = wanting.mapInArrow(ask(bounded, True), f"query_id bigint, embedding {kind}, floor double, qb int, cell int, part int").repartition(groups, *meet)
+        wanted = wanting.mapInArrow(ask(bounded, False), "qb int, cell int, part int").distinct()
+        lists = index.lists.join(wanted, ["cell", "part"]).select(*[F.col(c).alias(c) for c in (*meet, "vec_id", "embedding")]).repartition(groups, *meet)
+        found = asked.groupBy(*meet).cogroup(lists.groupBy(*meet)).applyInArrow(lambda a, b: nearest_in_tables(a, b, k), FOUND)
         return ordered.top_k(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
-    first = search(queries.mapInArrow(ask(False), schema))
+    first = search(queries, False)
     if not exact:
         return first
     first = cut_lineage(first)
     floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    rest = search(queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("nan")))).mapInArrow(ask(True), schema))
-    every = first.unionByName(rest).drop("rank")
+    known = queries.drop("floor").join(floors, "query_id", "left").select("query_id", "embedding", F.coalesce("floor", F.lit(float("nan"))).alias("floor"), "qb")
+    every = first.unionByName(search(known, True)).drop("rank")
     return ordered.top_k(every, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k)
 
 
